@@ -47,11 +47,11 @@ def split_words(x: str) -> str:
 # words: every cleaned word with its place; tokens: those that are no stop words and long enough
 WORDS = f"""
 word_lists AS (SELECT doc_id, lang, {split_words(cleaned('text'))} AS ws FROM documents),
-words AS (SELECT doc_id, lang, unnest(ws) AS token, generate_subscripts(ws, 1) AS at FROM word_lists),
+words AS (SELECT doc_id, lang, unnest(ws) AS token, generate_subscripts(ws, 1) AS place FROM word_lists),
 kept AS (SELECT * FROM words WHERE token NOT IN ({quoted(text.STOPWORDS)}))"""
 TOKENS = f"""{WORDS},
 tokens AS (
-  SELECT doc_id, lang, token, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS pos
+  SELECT doc_id, lang, token, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos
   FROM kept WHERE length(token) > 2)"""
 
 
@@ -109,7 +109,7 @@ stems AS (SELECT token, CASE token {IRREGULAR} ELSE
   CASE WHEN length(token) <= 2 THEN token ELSE lower(w) END END AS stem FROM s10)"""
 STEMMED = f"""{WORDS},{STEMS},
 tokens AS (
-  SELECT doc_id, stem AS token, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS pos
+  SELECT doc_id, stem AS token, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos
   FROM kept JOIN stems USING (token) WHERE length(stem) > 2)"""
 
 GRAMS = """
@@ -252,18 +252,17 @@ EVENT_FITNESS = """
 fitness AS (
   SELECT user_id::VARCHAR AS search_id, date_diff('day', DATE '2020-01-01', ts::DATE)::INTEGER AS generation,
     event_id AS ind, value AS fitness FROM events)"""
-LINES = """
-lines AS (
-  SELECT *, l_orderkey::VARCHAR AS search_id, 0 AS generation, (l_linenumber - 1)::BIGINT AS ind FROM lineitem),
-fitness AS (SELECT search_id, generation, ind, l_extendedprice AS fitness FROM lines)"""
-SUBSETS = f"""{LINES},
-genes AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7])::INTEGER AS gene),
+MEMBERS = f"""
+members AS (
+  SELECT c_custkey::VARCHAR AS search_id, 0 AS generation, ind FROM customer, (SELECT unnest(range(6))::BIGINT AS ind)),
+fitness AS (
+  SELECT search_id, generation, ind, floor({u('fit', 'search_id', 'ind')} * 8) / 8.0::DOUBLE AS fitness FROM members)"""
+SUBSETS = f"""{MEMBERS},
+genes AS (SELECT unnest(range(8))::INTEGER AS gene),
 subsets AS (
-  SELECT search_id, generation, ind, gene, ((l_partkey >> gene) & 1)::INTEGER AS bit FROM lines, genes)"""
-SETTINGS = f"""{LINES},
-settings AS (
-  SELECT search_id, generation, ind, l_quantity / 50.0::DOUBLE AS c_norm, l_discount * 10.0::DOUBLE AS gamma_norm,
-    l_tax * 12.5::DOUBLE AS kernel_norm FROM lines)"""
+  SELECT search_id, generation, ind, gene, ({u('bit', 'search_id', 'ind', 'gene')} < 0.5)::INTEGER AS bit FROM members, genes)"""
+SETTINGS = f"""{MEMBERS},
+settings AS (SELECT *, {", ".join(f"{u(g, 'search_id', 'ind')} AS {g}" for g in GENES)} FROM members)"""
 PAIRS = f"""
 pool AS (SELECT search_id, generation, count(*) AS n FROM fitness GROUP BY ALL),
 pair_draws AS (
@@ -356,7 +355,7 @@ SELECT doc_id, raw, CASE WHEN raw IN ({quoted(text.MISSING_TOKENS)}) THEN NULL E
         f"SELECT token AS word, count(DISTINCT doc_id) AS n_docs FROM words WHERE token IN ({quoted(text.STOPWORDS)}) GROUP BY 1",
     )
     joined = "SELECT d.doc_id, coalesce(string_agg(token, ' ' ORDER BY {at}), '') AS tokens{more} FROM documents d LEFT JOIN {source} t USING (doc_id) GROUP BY d.doc_id"
-    out["stopword_anti"] = select(WORDS, joined.format(at="at", more="", source="kept"))
+    out["stopword_anti"] = select(WORDS, joined.format(at="place", more="", source="kept"))
     out["tokens"] = select(TOKENS, joined.format(at="pos", more=", count(token)::INTEGER AS n_tokens", source="tokens"))
     out["stem_tokens"] = select(STEMMED, joined.format(at="pos", more="", source="tokens"))
     lexicon = cleaned("text")
@@ -474,7 +473,7 @@ WITH c AS (SELECT {confusion_columns('quality', 'toxic')} FROM labels) SELECT tp
     out["elite_topk"] = select(f"{EVENT_FITNESS},{ELITES}", "SELECT * FROM top")
     keys = ("search_id", "generation", "slot")
     out["tournament"] = select(
-        f"""{LINES},
+        f"""{MEMBERS},
 slots AS (SELECT search_id, generation, ind AS slot, count(*) OVER (PARTITION BY search_id, generation) AS n FROM fitness),
 draws AS (
   SELECT *, floor({u('tour', *keys, "'0'")} * n)::BIGINT AS p1, floor({u('tour', *keys, "'1'")} * (n - 1))::BIGINT AS q2,
@@ -524,10 +523,10 @@ kept AS (
   SELECT s.search_id, s.generation, place AS ind, gene, bit FROM subsets s JOIN top t
   ON s.search_id = t.search_id AND s.generation = t.generation AND s.ind = t.ind),
 offsets AS (SELECT search_id, generation, count(*) AS k FROM top GROUP BY ALL),
-members AS (
+assembled AS (
   SELECT * FROM kept UNION ALL
   SELECT search_id, generation, child + k, gene, bit FROM children JOIN offsets USING (search_id, generation))""",
-        "SELECT search_id, generation + 1 AS generation, ind, gene, bit FROM members WHERE ind < 5",
+        "SELECT search_id, generation + 1 AS generation, ind, gene, bit FROM assembled WHERE ind < 5",
     )
     c = f"CASE WHEN ind < 2 THEN {decade(0.5, 2.0, 'c')} ELSE {decade(0.1, 10.0, 'c')} END"
     gamma = f"CASE WHEN ind >= 2 AND ind < 4 THEN {decade(0.01, 0.1, 'gamma')} ELSE {decade(0.001, 1.0, 'gamma')} END"
@@ -542,12 +541,10 @@ FROM plain"""
 SELECT l_orderkey, l_linenumber, {r6(encoded('(l_quantity / 5.0::DOUBLE)', 0.1, 10.0), 'c_norm')},
   {r6(encoded('(0.001::DOUBLE + l_discount * 9.99::DOUBLE)', 0.001, 1.0), 'gamma_norm')},
   CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END::DOUBLE AS kernel_norm FROM lineitem"""
-    out["hp_decode"] = select(
-        SETTINGS,
-        f"""SELECT search_id, generation, ind, {r6(decoded('c_norm', 0.1, 10.0), 'c')},
-  {r6(decoded('gamma_norm', 0.001, 1.0), 'gamma')}, CASE WHEN kernel_norm < 0.5 THEN 'linear' ELSE 'rbf' END AS kernel
-FROM settings""",
-    )
+    out["hp_decode"] = f"""
+SELECT l_orderkey, l_partkey, {r6(decoded('(l_quantity / 50.0::DOUBLE)', 0.1, 10.0), 'c')},
+  {r6(decoded('(l_discount * 10.0::DOUBLE)', 0.001, 1.0), 'gamma')},
+  CASE WHEN l_tax * 12.5::DOUBLE < 0.5 THEN 'linear' ELSE 'rbf' END AS kernel FROM lineitem"""
     first = ", ".join(r6(f"a * {g}_1 + (1 - a) * {g}_2", g) for g in GENES)
     second = ", ".join(r6(f"a * {g}_2 + (1 - a) * {g}_1", g) for g in GENES)
     both = ", ".join(f"x.{g} AS {g}_1, y.{g} AS {g}_2" for g in GENES)

@@ -1,8 +1,8 @@
 """Queries: each takes (spark, folder of parquet tables) and returns a DataFrame.
 
 Stand-ins: documents are statements, labels.quality is the label, lang and source are categories, n_chars
-is a number, embeddings are vectors. Searches and candidates come from wide tables: an order is a search
-and its lines are the candidates, a user is a search and their events are candidates over days.
+is a number, embeddings are vectors. Searches: a customer is a search with six candidates, a user is a
+search whose events are candidates over days, a line item is a candidate with settings of its own.
 """
 
 from __future__ import annotations
@@ -439,45 +439,39 @@ def event_fitness(spark, folder) -> DataFrame:
     )
 
 
-def order_lines(spark, folder) -> DataFrame:
-    """An order is a search, its lines are the candidates of generation 0."""
-    return read(spark, folder, "lineitem").withColumns(
-        {
-            "search_id": F.col("l_orderkey").cast("string"),
-            "generation": F.lit(0),
-            "ind": (F.col("l_linenumber") - 1).cast("bigint"),
-        }
+MEMBERS = 6
+
+
+def members(spark, folder) -> DataFrame:
+    """A customer is a search with six candidates in generation 0."""
+    ids = F.sequence(F.lit(0).cast("bigint"), F.lit(MEMBERS - 1).cast("bigint"))
+    return read(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("search_id"),
+        F.lit(0).alias("generation"),
+        F.explode(ids).alias("ind"),
     )
 
 
-def order_fitness(spark, folder) -> DataFrame:
-    price = F.col("l_extendedprice").alias("fitness")
-    return order_lines(spark, folder).select("search_id", "generation", "ind", price)
+def member_fitness(spark, folder) -> DataFrame:
+    """One of eight values, so that ties are common."""
+    level = F.floor(uniform("fit", F.col("search_id"), F.col("ind")) * 8) / 8.0
+    return members(spark, folder).withColumn("fitness", level)
 
 
-def order_subsets(spark, folder) -> DataFrame:
-    """Eight genes per order line: the low bits of its part key."""
-    bits = [
-        F.struct(F.lit(g).alias("gene"), F.shiftright("l_partkey", g).bitwiseAND(1).cast("int").alias("bit"))
-        for g in range(8)
-    ]
-    return order_lines(spark, folder).select("search_id", "generation", "ind", F.inline(F.array(*bits)))
+def member_subsets(spark, folder) -> DataFrame:
+    genes = members(spark, folder).withColumn("gene", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    bit = uniform("bit", F.col("search_id"), F.col("ind"), F.col("gene")) < 0.5
+    return genes.withColumn("bit", bit.cast("int"))
 
 
-def order_settings(spark, folder) -> DataFrame:
-    return order_lines(spark, folder).select(
-        "search_id",
-        "generation",
-        "ind",
-        (F.col("l_quantity") / 50.0).alias("c_norm"),
-        (F.col("l_discount") * 10.0).alias("gamma_norm"),
-        (F.col("l_tax") * 12.5).alias("kernel_norm"),
-    )
+def member_settings(spark, folder) -> DataFrame:
+    drawn = {g: uniform(g, F.col("search_id"), F.col("ind")) for g in cand.SETTING_GENES}
+    return members(spark, folder).withColumns(drawn)
 
 
-def order_pairs(spark, folder) -> DataFrame:
-    """Two pairs per order, drawn among its lines."""
-    pool = order_fitness(spark, folder).select("search_id", "generation", F.col("ind").alias("slot"), "ind")
+def member_pairs(spark, folder) -> DataFrame:
+    """Two pairs per search, drawn among its members."""
+    pool = members(spark, folder).withColumn("slot", F.col("ind"))
     return cand.draw_pairs(pool, 2)
 
 
@@ -510,17 +504,17 @@ def elite_topk(spark, folder):
 
 @query
 def tournament(spark, folder):
-    return cand.tournament(order_fitness(spark, folder))
+    return cand.tournament(member_fitness(spark, folder))
 
 
 @query
 def selection_rate(spark, folder):
-    return rounded(cand.selection_rate(order_subsets(spark, folder)), "selection_rate")
+    return rounded(cand.selection_rate(member_subsets(spark, folder)), "selection_rate")
 
 
 @query
 def distinct_candidates(spark, folder):
-    return cand.distinct_candidates(order_subsets(spark, folder)).drop("signature")
+    return cand.distinct_candidates(member_subsets(spark, folder)).drop("signature")
 
 
 @query
@@ -533,19 +527,19 @@ def subset_init(spark, folder):
 
 @query
 def uniform_crossover(spark, folder):
-    return cand.cross_subsets(order_pairs(spark, folder), order_subsets(spark, folder))
+    return cand.cross_subsets(member_pairs(spark, folder), member_subsets(spark, folder))
 
 
 @query
 def bitflip_mutation(spark, folder):
-    return cand.flip_bits(order_subsets(spark, folder).withColumnRenamed("ind", "child"), 30)
+    return cand.flip_bits(member_subsets(spark, folder).withColumnRenamed("ind", "child"), 30)
 
 
 @query
 def next_generation(spark, folder):
-    population = order_subsets(spark, folder)
-    children = cand.cross_subsets(order_pairs(spark, folder), population)
-    top = cand.elites(order_fitness(spark, folder))
+    population = member_subsets(spark, folder)
+    children = cand.cross_subsets(member_pairs(spark, folder), population)
+    top = cand.elites(member_fitness(spark, folder))
     return cand.next_generation(top, children, population, 5, ["gene", "bit"])
 
 
@@ -574,19 +568,25 @@ def hp_encode(spark, folder):
 
 @query
 def hp_decode(spark, folder):
-    plain = cand.decode_settings(order_settings(spark, folder))
-    return rounded(plain.drop(*cand.SETTING_GENES), "c", "gamma")
+    coded = read(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        (F.col("l_quantity") / 50.0).alias("c_norm"),
+        (F.col("l_discount") * 10.0).alias("gamma_norm"),
+        (F.col("l_tax") * 12.5).alias("kernel_norm"),
+    )
+    return rounded(cand.decode_settings(coded).drop(*cand.SETTING_GENES), "c", "gamma")
 
 
 @query
 def arithmetic_crossover(spark, folder):
-    born = cand.cross_settings(order_pairs(spark, folder), order_settings(spark, folder))
+    born = cand.cross_settings(member_pairs(spark, folder), member_settings(spark, folder))
     return rounded(born, *cand.SETTING_GENES)
 
 
 @query
 def gaussian_mutation(spark, folder):
-    shaken = cand.shake_settings(order_settings(spark, folder).withColumnRenamed("ind", "child"), 20)
+    shaken = cand.shake_settings(member_settings(spark, folder).withColumnRenamed("ind", "child"), 20)
     return rounded(shaken, *cand.SETTING_GENES)
 
 
