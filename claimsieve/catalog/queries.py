@@ -16,7 +16,7 @@ from claimsieve.functions import scores, text
 from claimsieve.functions.draws import uniform
 from claimsieve.operators import candidates as cand
 from claimsieve.operators import dictionary, features, metadata, metrics, ranking, svm, terms, vectors
-from claimsieve.operators.layout import reliable, shared_folder, spread
+from claimsieve.operators.layout import reliable, shared_folder, spread, unpack
 from claimsieve.plans import feature_build, run, search
 from claimsieve.plans.feature_build import FeatureSpec
 from claimsieve.session import ship
@@ -154,7 +154,7 @@ def stopword_union(spark, folder):
     """Number of documents that hold each word of the united stop-word list."""
     rows = spread(documents(spark, folder).select("doc_id", "text"), "doc_id")
     found = F.filter(F.array_distinct(text.raw_tokens(F.col("text"))), lambda t: t.isin(*text.STOPWORDS))
-    held = rows.select(F.explode(found).alias("word"))
+    held = unpack(rows, [], found, "word")
     return held.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -231,9 +231,9 @@ def vocab_topk(spark, folder):
 @query
 def tfidf(spark, folder):
     """The whole term table of the documents, weighted and scaled to unit rows."""
-    tf = counts(spark, folder)
-    vocab = terms.vocabulary(tf, n_documents(spark, folder))
-    return rounded(terms.tfidf(tf, vocab), "value")
+    rows = words(spark, folder)
+    vocab = terms.vocabulary(terms.term_counts(rows), n_documents(spark, folder))
+    return rounded(terms.tfidf(rows, vocab), "value")
 
 
 # ---- metadata and vectors ---------------------------------------------------------------------------
@@ -317,15 +317,18 @@ def embed_batch(spark, folder):
 @query
 def hybrid_features(spark, folder):
     df = with_vectors(spark, folder)
-    return rounded(feature_build.fit(df, SPEC).transform(df, fitted_rows=True), "value")
+    tokens = reliable(feature_build.token_table(df, SPEC))
+    model = feature_build.fit(df, SPEC, tokens)
+    return rounded(model.transform(df, tokens, fitted_rows=True), "value")
 
 
 def plain_features(spark, folder) -> tuple[DataFrame, DataFrame]:
     """(long features, index) without stems and with a small vocabulary."""
     df = with_vectors(spark, folder)
     spec = FeatureSpec(**{**SPEC.__dict__, "stem": False})
-    model = feature_build.fit(df, spec)
-    return model.transform(df, fitted_rows=True), model.index()
+    tokens = feature_build.token_table(df, spec)
+    model = feature_build.fit(df, spec, tokens)
+    return model.transform(df, tokens, fitted_rows=True), model.index()
 
 
 @query
@@ -521,8 +524,9 @@ def distinct_candidates(spark, folder):
 def subset_init(spark, folder):
     """A language is a search, its distinct words are the features."""
     rows = documents(spark, folder).select("doc_id", "lang", "text")
-    found = spread(rows, "doc_id").select("lang", F.explode(text.tokens(F.col("text"))).alias("gene"))
-    return cand.init_subsets(found.select(F.col("lang").alias("search_id"), "gene").distinct(), 6)
+    rows = spread(rows, "doc_id").withColumnRenamed("lang", "search_id")
+    found = unpack(rows, ["search_id"], F.array_distinct(text.tokens(F.col("text"))), "gene")
+    return cand.init_subsets(found.distinct(), 6)
 
 
 @query
@@ -610,8 +614,8 @@ RUN_SPEC = FeatureSpec(**{**SPEC.__dict__, "readability": "cleaned"})
 
 def packed_rows(spark, folder) -> tuple[DataFrame, int]:
     """(doc_id, label, fold, indices, values) of all labelled documents, and the number of features."""
-    df = labelled(spark, folder)
-    _, _, packed, n_features = run.labelled_vectors(df, SPEC, df, True)
+    df = labelled(spark, folder).withColumn("split", F.lit("train"))
+    _, _, packed, n_features = run.fitted_vectors(df, SPEC, False)
     rows = df.select("doc_id", "label").join(packed, "doc_id")
     return ranking.stratified_folds(reliable(rows)), n_features
 

@@ -101,11 +101,10 @@ def selection_rate(population: DataFrame) -> DataFrame:
     )
 
 
-def signatures(population: DataFrame) -> DataFrame:
-    """(search_id, generation, ind, signature): equal exactly for equal subsets.
+def _signature() -> Column:
+    """Equal exactly for equal subsets of a candidate's genes.
 
-    The signature adds up two independent 48-bit hashes of the selected genes, so it is a plain
-    map-side aggregate and no list of genes is ever collected.
+    Adds up two independent 48-bit hashes of the selected genes: a plain map-side aggregate.
     """
     digest = F.md5(F.col("gene").cast("string"))
 
@@ -114,8 +113,25 @@ def signatures(population: DataFrame) -> DataFrame:
         return F.sum(F.when(F.col("bit") == 1, word).otherwise(0).cast("decimal(20,0)")).cast("string")
 
     n = F.sum(F.col("bit").cast("bigint")).cast("string")
+    return F.concat_ws("-", n, part(1), part(13))
+
+
+def signatures(population: DataFrame) -> DataFrame:
+    """(search_id, generation, ind, signature)."""
+    return population.groupBy("search_id", "generation", "ind").agg(_signature().alias("signature"))
+
+
+def describe_subsets(population: DataFrame) -> DataFrame:
+    """(search_id, generation, ind, signature, n_selected, n_total, genes): one row per candidate.
+
+    ``genes`` holds the selected genes, at most as many as there are features.
+    """
+    chosen = F.collect_list(F.when(F.col("bit") == 1, F.col("gene")))
     return population.groupBy("search_id", "generation", "ind").agg(
-        F.concat_ws("-", n, part(1), part(13)).alias("signature")
+        _signature().alias("signature"),
+        F.sum(F.col("bit").cast("bigint")).alias("n_selected"),
+        F.count(F.lit(1)).alias("n_total"),
+        F.sort_array(chosen).alias("genes"),
     )
 
 

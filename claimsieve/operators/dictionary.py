@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.functions.stem import with_stem
-from claimsieve.operators.layout import BROADCAST_ROWS
+from claimsieve.operators.layout import BROADCAST_ROWS, unpack
 
 
 def distinct_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return df.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
+    return unpack(df, [], F.array_distinct(tokens), "token").distinct()
 
 
 def stem_dictionary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -18,53 +21,88 @@ def stem_dictionary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return with_stem(distinct_tokens(df, tokens), "token", "stem")
 
 
-def _positions(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    return df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+def replace_words(
+    df: DataFrame, mapping: pa.Table, tokens: str = "tokens", min_length: int = 1
+) -> DataFrame:
+    """Swap the words of a token array by a bounded ``(word, replacement)`` table, inside each row.
+
+    Words without a replacement stay; results shorter than ``min_length`` are dropped. Each Arrow batch
+    is one hash lookup over its flat words, so nothing is exploded or shuffled.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(
+        (mapping.column(0).combine_chunks(), mapping.column(1).combine_chunks())
+    )
+    names = df.columns
+
+    def swap(batches):
+        known, replacement = shared.value
+        for batch in batches:
+            lists = batch.column(tokens)
+            flat = lists.flatten()
+            new = pc.coalesce(replacement.take(pc.index_in(flat, value_set=known)), flat)
+            kept = pc.greater_equal(pc.utf8_length(new), min_length)
+            before = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+            offsets = lists.offsets.to_numpy()
+            at = pa.array(before[offsets - offsets[0]], pa.int32())
+            swapped = pa.ListArray.from_arrays(at, new.filter(kept))
+            yield pa.RecordBatch.from_arrays(
+                [swapped if n == tokens else batch.column(n) for n in names], names=names
+            )
+
+    return df.mapInArrow(swap, df.schema)
+
+
+def _bounded(dictionary: DataFrame, max_rows: int) -> pa.Table | None:
+    """The dictionary itself if it has at most ``max_rows`` rows."""
+    table = dictionary.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows else None
 
 
-def _collect(words: DataFrame, key: str, word: str, min_length: int, out: str) -> DataFrame:
+def _positions(df: DataFrame, tokens: str) -> DataFrame:
+    others = [c for c in df.columns if c != tokens]
+    return df.select(*others, F.posexplode_outer(tokens).alias("pos", "token"))
+
+
+def _collect(words: DataFrame, keys: list[str], word: str, min_length: int, out: str) -> DataFrame:
     placed = F.when(F.length(word) >= min_length, F.struct("pos", F.col(word).alias("word")))
     ordered = F.sort_array(F.collect_list(placed))
-    return words.groupBy(key).agg(F.transform(ordered, lambda x: x["word"]).alias(out))
+    return words.groupBy(*keys).agg(F.transform(ordered, lambda x: x["word"]).alias(out))
 
 
 def stem_tokens(
-    df: DataFrame,
-    key: str = "doc_id",
-    tokens: str = "tokens",
-    min_length: int = 1,
-    max_dictionary: int = BROADCAST_ROWS,
+    df: DataFrame, tokens: str = "tokens", min_length: int = 1, max_dictionary: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """(key, tokens) with every token stemmed and stems shorter than ``min_length`` dropped.
+    """Stem every token and drop stems shorter than ``min_length``; rows are unique in the other columns.
 
-    The dictionary is counted first. A small one is broadcast to the token rows. A larger one is not
-    used at all: the stem expression then runs on every occurrence, which needs no join and so cannot
-    be skewed by frequent words.
+    The distinct words are stemmed once. Up to ``max_dictionary`` words, the dictionary goes to every
+    task. A larger one is not used at all: the stem expression then runs on every occurrence, which
+    needs no join and so cannot be skewed by frequent words.
     """
-    dictionary = stem_dictionary(df, tokens).persist()
-    places = _positions(df, key, tokens)
-    if dictionary.limit(max_dictionary + 1).count() <= max_dictionary:
-        stemmed = places.join(F.broadcast(dictionary), "token", "left")
-    else:
-        dictionary.unpersist()
-        stemmed = with_stem(places, "token", "stem")
-    return _collect(stemmed, key, "stem", min_length, tokens)
+    dictionary = _bounded(stem_dictionary(df, tokens), max_dictionary)
+    if dictionary is not None:
+        return replace_words(df, dictionary, tokens, min_length)
+    others = [c for c in df.columns if c != tokens]
+    return _collect(with_stem(_positions(df, tokens), "token", "stem"), others, "stem", min_length, tokens)
 
 
 def lemma_lookup(
     df: DataFrame,
     lemmas: DataFrame,
-    key: str = "doc_id",
     tokens: str = "tokens",
     min_length: int = 1,
+    max_dictionary: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """(key, tokens) with tokens replaced by their lemma where ``lemmas(token, lemma)`` has one.
+    """Replace tokens by their lemma where ``lemmas(token, lemma)`` has one; rows are unique in the other
+    columns.
 
-    Only the lemmas of words that occur are looked up: the distinct words meet the lexicon first, and
-    the (much smaller) result meets the token rows.
+    Only lemmas of words that occur are used: the distinct words meet the lexicon first. If that still
+    leaves more than ``max_dictionary`` of them, the token rows are joined instead.
     """
-    used = lemmas.dropDuplicates(["token"]).join(distinct_tokens(df, tokens), "token", "left_semi").persist()
-    hint = F.broadcast(used) if used.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else used
-    words = _positions(df, key, tokens).join(hint, "token", "left")
-    words = words.withColumn("_lemma", F.coalesce("lemma", "token"))
-    return _collect(words, key, "_lemma", min_length, tokens)
+    used = lemmas.select("token", "lemma").dropDuplicates(["token"])
+    used = used.join(distinct_tokens(df, tokens), "token", "left_semi")
+    dictionary = _bounded(used, max_dictionary)
+    if dictionary is not None:
+        return replace_words(df, dictionary, tokens, min_length)
+    others = [c for c in df.columns if c != tokens]
+    words = _positions(df, tokens).join(used, "token", "left")
+    return _collect(words.withColumn("_lemma", F.coalesce("lemma", "token")), others, "_lemma", min_length, tokens)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,15 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
 
 
+def unpack(df: DataFrame, keys: list[str], items, name: str) -> DataFrame:
+    """(keys, name): one row per item of an array column that is costly to compute.
+
+    A plain explode makes the optimizer add a "not empty" filter on the array and push it towards the
+    scan, where the array would be computed a second time. An outer explode adds none.
+    """
+    return df.select(*keys, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for CPU-heavy row work on a small input that comes in few splits.
 
@@ -33,19 +45,32 @@ def shared_root(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="claimsieve-")
+    if getattr(context, "_claimsieve_root", None) is None:
+        context._claimsieve_root = tempfile.mkdtemp(prefix="claimsieve-")
+        atexit.register(shutil.rmtree, context._claimsieve_root, ignore_errors=True)
+    return context._claimsieve_root
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing folder below the shared one."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, not yet existing folder of this application below the shared one."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Compute a table once and cut its lineage through the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """Compute a table once, write it to the shared folder and go on from there.
+
+    This cuts the lineage: a lost executor costs a re-read, not a re-run. Unlike a checkpoint it
+    computes the table once, keeps it columnar, and tells the optimizer its size.
+    """
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reliable_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """:func:`reliable` for independent tables, as concurrent jobs."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return dict(zip(tables, pool.map(reliable, tables.values()), strict=True))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimsieve.operators.layout import broadcast_if_bounded
+from claimsieve.operators.layout import BROADCAST_ROWS, unpack
 
 
 def with_ngrams(df: DataFrame, tokens: str = "tokens", out: str = "grams", longest: int = 3) -> DataFrame:
@@ -22,7 +24,7 @@ def with_ngrams(df: DataFrame, tokens: str = "tokens", out: str = "grams", longe
 def ngrams(df: DataFrame, key: str = "doc_id", tokens: str = "tokens", longest: int = 3) -> DataFrame:
     """One row per gram occurrence."""
     grams = with_ngrams(df.select(key, tokens), tokens, "_grams", longest)
-    return grams.select(key, F.explode("_grams").alias("term"))
+    return unpack(grams, [key], "_grams", "term")
 
 
 def term_counts(df: DataFrame, key: str = "doc_id", tokens: str = "tokens", longest: int = 3) -> DataFrame:
@@ -31,10 +33,10 @@ def term_counts(df: DataFrame, key: str = "doc_id", tokens: str = "tokens", long
     All grams of a row are already together, so they are sorted inside the row and counted as runs:
     the positions where a new term starts, and the distance to the next start.
     """
-    grams = with_ngrams(df.select(key, tokens), tokens, "_grams", longest).filter(F.size("_grams") > 0)
+    grams = with_ngrams(df.select(key, tokens), tokens, "_grams", longest)
     ordered = grams.select(key, F.sort_array("_grams").alias("_s"))
-    place = F.sequence(F.lit(0), F.size("_s") - 1)
-    starts = F.filter(place, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    places = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
     runs = F.transform(
         F.col("_at"),
         lambda at, j: F.struct(
@@ -42,7 +44,7 @@ def term_counts(df: DataFrame, key: str = "doc_id", tokens: str = "tokens", long
             (F.coalesce(F.get("_at", j + 1), F.size("_s")) - at).cast("bigint").alias("tf"),
         ),
     )
-    counted = ordered.select(key, "_s", starts.alias("_at")).select(key, F.explode(runs).alias("_r"))
+    counted = unpack(ordered.select(key, "_s", starts.alias("_at")), [key], runs, "_r")
     return counted.select(key, "_r.term", "_r.tf")
 
 
@@ -86,16 +88,80 @@ def vocabulary(
     return top.select("term", pos, "df", "total", idf(F.col("df"), n_docs).alias("idf"))
 
 
-def tfidf(
-    counts: DataFrame, vocab: DataFrame, key: str = "doc_id", max_features: int = 5000
-) -> DataFrame:
-    """(key, term, value): sublinear tf times idf, each row scaled to length 1.
+def tfidf_join(counts: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, value) for a vocabulary of any size.
 
-    Terms outside the vocabulary are dropped by a map-side join before the only shuffle, which moves
-    the surviving entries to their row's key.
+    Terms outside the vocabulary are dropped by the join; one shuffle then brings the surviving entries
+    of a row together to scale them to length 1.
     """
-    words = broadcast_if_bounded(vocab.select("term", "idf"), max_features)
     weight = (F.lit(1.0) + F.ln("tf")) * F.col("idf")
-    weighted = counts.join(words, "term").select(key, "term", weight.alias("_w"))
+    weighted = counts.join(vocab.select("term", "idf"), "term").select(key, "term", weight.alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("_w") / length).alias("value"))
+
+
+def vocabulary_list(vocab: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Terms and idf weights in position order, for a vocabulary whose size is bounded."""
+    table = vocab.select("pos", "term", "idf").toArrow().sort_by("pos")
+    return table.column("term").to_pylist(), table.column("idf").to_numpy()
+
+
+def tfidf_rows(
+    df: DataFrame,
+    words: list[str],
+    idf_weights: np.ndarray,
+    key: str = "doc_id",
+    tokens: str = "tokens",
+    longest: int = 3,
+) -> DataFrame:
+    """(key, indices, values): sublinear tf times idf of the known terms, scaled to length 1.
+
+    Works inside each row: the JVM counts the grams that are in the vocabulary, and the weights of a
+    batch of rows are then three vector operations. Nothing is shuffled. Rows without a known term get
+    empty arrays.
+    """
+    grams = with_ngrams(df.select(key, tokens), tokens, "_grams", longest)
+    if not words:
+        return df.select(key, F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
+    counter = CountVectorizerModel.from_vocabulary(words, inputCol="_grams", outputCol="_counts")
+    counted = counter.transform(grams).select(key, "_counts")
+    key_type = counted.schema[key].dataType.simpleString()
+
+    def weigh(batches):
+        for batch in batches:
+            vector = batch.column("_counts")
+            lists = vector.field("indices")
+            sizes = np.diff(lists.offsets.to_numpy())
+            index = lists.flatten().to_numpy()
+            weight = (1.0 + np.log(vector.field("values").flatten().to_numpy())) * idf_weights[index]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            length = np.sqrt(np.bincount(row, weight * weight, minlength=len(sizes)))
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(key),
+                    pa.ListArray.from_arrays(at, pa.array(index, pa.int32())),
+                    pa.ListArray.from_arrays(at, pa.array(weight / length[row])),
+                ],
+                names=[key, "indices", "values"],
+            )
+
+    return counted.mapInArrow(weigh, f"{key} {key_type}, indices array<int>, values array<double>")
+
+
+def tfidf(
+    df: DataFrame,
+    vocab: DataFrame,
+    key: str = "doc_id",
+    tokens: str = "tokens",
+    longest: int = 3,
+    max_features: int = 5000,
+) -> DataFrame:
+    """(key, term, value) of the tokens of each row against a fitted vocabulary."""
+    if max_features > BROADCAST_ROWS:
+        return tfidf_join(term_counts(df, key, tokens, longest), vocab, key)
+    words, weights = vocabulary_list(vocab)
+    rows = tfidf_rows(df, words, weights, key, tokens, longest)
+    cells = rows.select(key, F.explode(F.arrays_zip("indices", "values")).alias("_e"))
+    names = F.lit(words) if words else F.array().cast("array<string>")
+    return cells.select(key, F.get(names, F.col("_e.indices")).alias("term"), F.col("_e.values").alias("value"))

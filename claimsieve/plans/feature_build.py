@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.functions import text as words
 from claimsieve.operators import dictionary, features, metadata, terms, vectors
-from claimsieve.operators.layout import spread
+from claimsieve.operators.layout import reliable_all, spread
 
 READABILITY = ("avg_sentence_length", "avg_word_length", "unique_word_ratio")
 
@@ -40,17 +40,18 @@ class FeatureSpec:
         return self.max_terms + self.max_categories * len(self.categorical) + len(self.numeric) + 3
 
 
-def token_table(df: DataFrame, spec: FeatureSpec, lemmas: DataFrame | None = None) -> DataFrame:
-    """(key, tokens) of every row, through cleaning, stop words, stems, lemmas and the length limit."""
-    rows = spread(df.select(spec.key, spec.text), spec.key)
-    last = not spec.stem and lemmas is None
-    shortest = spec.min_token_length if last else 1
-    out = rows.select(spec.key, words.tokens(F.col(spec.text), spec.stopwords, shortest).alias("tokens"))
+def token_table(
+    df: DataFrame, spec: FeatureSpec, lemmas: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, keep, tokens) of every row, through cleaning, stop words, stems, lemmas and the length limit."""
+    rows = spread(df.select(spec.key, *keep, spec.text), spec.key)
+    shortest = 1 if spec.stem or lemmas is not None else spec.min_token_length
+    tokens = words.tokens(F.col(spec.text), spec.stopwords, shortest).alias("tokens")
+    out = rows.select(spec.key, *keep, tokens)
     if spec.stem:
-        shortest = spec.min_token_length if lemmas is None else 1
-        out = dictionary.stem_tokens(out, spec.key, "tokens", shortest)
+        out = dictionary.stem_tokens(out, "tokens", spec.min_token_length if lemmas is None else 1)
     if lemmas is not None:
-        out = dictionary.lemma_lookup(out, lemmas, spec.key, "tokens", spec.min_token_length)
+        out = dictionary.lemma_lookup(out, lemmas, "tokens", spec.min_token_length)
     return out
 
 
@@ -97,18 +98,13 @@ class FeatureModel:
             names = names.unionByName(spark.range(1).select(F.inline(F.array(*cells))))
         return features.number_features(names)
 
-    def blocks(self, df: DataFrame, tokens: DataFrame | None = None, fitted_rows: bool = False) -> dict[str, DataFrame]:
-        """The long rows of each block for a table with the fitted columns."""
-        spec = self.spec
-        tokens = token_table(df, spec, self.lemmas) if tokens is None else tokens
-        counts = terms.term_counts(tokens, spec.key, "tokens", spec.longest_gram)
-        out = {}
-        scored = terms.tfidf(counts, self.tables["vocabulary"], spec.key, spec.max_terms)
-        out["tfidf"] = scored.select(spec.key, F.col("term").alias("feature"), "value")
+    def blocks(self, df: DataFrame, tokens: DataFrame, fitted_rows: bool = False) -> dict[str, DataFrame]:
+        """The long rows of each block but tfidf, for a table with the fitted columns."""
+        spec, out = self.spec, {}
         if "vector_stats" in self.tables:
             given = df.select(spec.key, spec.embedding).filter(F.col(spec.embedding).isNotNull())
             scaled = vectors.standardize(given, self.tables["vector_stats"], spec.key, spec.embedding)
-            out["embedding"] = scored_names(scaled, spec.key, "pos")
+            out["embedding"] = scaled.select(spec.key, F.col("pos").cast("string").alias("feature"), "value")
         if "categories" in self.tables:
             known = None if fitted_rows else self.tables["known_categories"]
             hot = metadata.onehot(
@@ -118,14 +114,46 @@ class FeatureModel:
         if "numeric_stats" in self.tables:
             out["numeric"] = metadata.zscore(df, self.tables["numeric_stats"], spec.numeric, spec.key)
         if spec.readability == "raw":
-            out["readability"] = readability_rows(df, spec.key, F.col(spec.text))
+            out["readability"] = readability_rows(spread(df, spec.key), spec.key, F.col(spec.text))
         elif spec.readability == "cleaned":
             out["readability"] = readability_rows(tokens, spec.key, F.array_join("tokens", " "))
         return out
 
     def transform(self, df: DataFrame, tokens: DataFrame | None = None, fitted_rows: bool = False) -> DataFrame:
         """(key, block, feature, value); ``fitted_rows`` says that ``df`` is the fitted table itself."""
-        return features.concat_blocks(self.blocks(df, tokens, fitted_rows), self.spec.key)
+        spec = self.spec
+        tokens = token_table(df, spec, self.lemmas) if tokens is None else tokens
+        scored = terms.tfidf(
+            tokens, self.tables["vocabulary"], spec.key, "tokens", spec.longest_gram, spec.max_terms
+        )
+        blocks = {"tfidf": scored.select(spec.key, F.col("term").alias("feature"), "value")}
+        blocks.update(self.blocks(df, tokens, fitted_rows))
+        return features.concat_blocks(blocks, spec.key)
+
+    def pack(self, df: DataFrame, tokens: DataFrame, index: DataFrame, fitted_rows: bool = False) -> DataFrame:
+        """(key, indices, values) for every row of ``df``, in position order.
+
+        The terms come first in the feature order, so their arrays (made inside each row) and the few
+        entries of the other blocks are put one after the other.
+        """
+        spec = self.spec
+        limit = self.spec.max_features
+        words_, weights = terms.vocabulary_list(self.tables["vocabulary"])
+        first = terms.tfidf_rows(tokens, words_, weights, spec.key, "tokens", spec.longest_gram)
+        parts = [first.withColumnsRenamed({"indices": "_i0", "values": "_v0"})]
+        others = self.blocks(df, tokens, fitted_rows)
+        if others:
+            rest = features.pack_rows(features.concat_blocks(others, spec.key), index, spec.key, limit)
+            parts.append(rest.withColumnsRenamed({"indices": "_i1", "values": "_v1"}))
+        out = df.select(spec.key)
+        for part in parts:
+            out = out.join(part, spec.key, "left")
+        none_i, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")
+        return out.select(
+            spec.key,
+            F.concat(*[F.coalesce(f"_i{n}", none_i) for n in range(len(parts))]).alias("indices"),
+            F.concat(*[F.coalesce(f"_v{n}", none_v) for n in range(len(parts))]).alias("values"),
+        )
 
     def save(self, path: str) -> None:
         for name, table in self.tables.items():
@@ -140,10 +168,6 @@ def load_model(spark: SparkSession, path: str, spec: FeatureSpec, lemmas: DataFr
     return FeatureModel(spec, {n: spark.read.parquet(f"{path}/{n}") for n in names}, lemmas)
 
 
-def scored_names(df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.select(key, F.col(name).cast("string").alias("feature"), "value")
-
-
 def readability_rows(df: DataFrame, key: str, text) -> DataFrame:
     """(key, feature, value) of the three readability scores."""
     scored = df.select(key, *[c.alias(n) for n, c in words.readability(text).items()])
@@ -154,7 +178,7 @@ def readability_rows(df: DataFrame, key: str, text) -> DataFrame:
 def fit(
     df: DataFrame, spec: FeatureSpec, tokens: DataFrame | None = None, lemmas: DataFrame | None = None
 ) -> FeatureModel:
-    """Fit every block on ``df``. Nothing runs until a fitted table is used."""
+    """Fit every block on ``df``; the fitted tables are computed once and written to the shared folder."""
     tokens = token_table(df, spec, lemmas) if tokens is None else tokens
     counts = terms.term_counts(tokens, spec.key, "tokens", spec.longest_gram)
     n_docs = terms.row_count(df)
@@ -169,4 +193,4 @@ def fit(
         tables["categories"] = metadata.frequent_categories(seen, spec.max_categories)
     if spec.numeric:
         tables["numeric_stats"] = metadata.numeric_stats(df, spec.numeric)
-    return FeatureModel(spec, tables, lemmas)
+    return FeatureModel(spec, reliable_all(tables), lemmas)
