@@ -7,8 +7,9 @@ identity gives the same table for any partitioning and after any task retry.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
@@ -37,22 +38,27 @@ def normal(tag: str, *keys, seed: int = SEED) -> Column:
     return F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def distinct_picks(count: int, population: Column, tag: str, *keys, seed: int = SEED) -> Column:
-    """Array of ``count`` different indices in ``[0, population)``, in draw order.
+def with_distinct_picks(
+    df: DataFrame, out: str, count: int, population: str, tag: str, keys: Sequence[str], seed: int = SEED
+) -> DataFrame:
+    """Add an array of ``count`` different indices in ``[0, population)``, in draw order.
 
     The j-th draw picks one of the ``population - j`` free places and then steps over the places
     already taken, so no row has to be paired with every member of the population. A population of
-    fewer than ``count`` gives all its indices.
+    fewer than ``count`` gives all its indices. One projection per draw: each hash is computed once.
     """
-    picks = F.array().cast("array<bigint>")
+    keep = [c for c in df.columns if c != out]
+    taken: list[str] = []
     for j in range(count):
-        free = population.cast("bigint") - F.lit(j)
-        place = F.floor(uniform(tag, *keys, j, seed=seed) * free).cast("bigint")
-        if j:
-            place = F.aggregate(
-                F.array_sort(picks),
-                place,
-                lambda at, taken: at + F.when(at >= taken, 1).otherwise(0).cast("bigint"),
-            )
-        picks = F.concat(picks, F.array(place))
-    return F.slice(picks, 1, F.least(F.lit(count), population.cast("int")))
+        free = F.col(population).cast("bigint") - F.lit(j)
+        draw = uniform(tag, *[F.col(k) for k in keys], j, seed=seed)
+        df = df.withColumn("_place", F.floor(draw * free).cast("bigint"))
+        if taken:
+            df = df.withColumn("_taken", F.array_sort(F.array(*taken)))
+            for k in range(len(taken)):
+                step = F.when(F.col("_place") >= F.get("_taken", F.lit(k)), 1).otherwise(0).cast("bigint")
+                df = df.withColumn("_place", F.col("_place") + step)
+        taken.append(f"_pick{j}")
+        df = df.withColumn(taken[-1], F.col("_place"))
+    size = F.least(F.lit(count), F.col(population).cast("int"))
+    return df.select(*keep, F.slice(F.array(*taken), 1, size).alias(out))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimsieve.functions import scores
-from claimsieve.functions.draws import SEED, distinct_picks, normal, uniform, uniform_between
+from claimsieve.functions.draws import SEED, normal, uniform, uniform_between, with_distinct_picks
 
 SETTING_GENES = ("c_norm", "gamma_norm", "kernel_norm")
 
@@ -194,10 +194,8 @@ def tournament(fitness: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame
     members = fitness.groupBy("search_id", "generation").agg(F.count(F.lit(1)).alias("_n"))
     slots = fitness.select("search_id", "generation", F.col("ind").alias("slot"))
     slots = slots.join(members, ["search_id", "generation"])
-    picks = distinct_picks(
-        size, F.col("_n"), "tour", F.col("search_id"), F.col("generation"), F.col("slot"), seed=seed
-    )
-    drawn = slots.select("search_id", "generation", "slot", F.posexplode(picks).alias("_draw", "ind"))
+    slots = with_distinct_picks(slots, "_picks", size, "_n", "tour", ["search_id", "generation", "slot"], seed)
+    drawn = slots.select("search_id", "generation", "slot", F.posexplode_outer("_picks").alias("_draw", "ind"))
     entered = drawn.join(fitness, ["search_id", "generation", "ind"])
     winner = F.max_by("ind", F.struct("fitness", -F.col("_draw")))
     return entered.groupBy("search_id", "generation", "slot").agg(winner.alias("ind"))
@@ -210,10 +208,8 @@ def draw_pairs(pool: DataFrame, pairs: int, seed: int = SEED) -> DataFrame:
     """
     size = pool.groupBy("search_id", "generation").agg(F.count(F.lit(1)).alias("_n"))
     numbered = size.withColumn("pair", _numbers(pairs))
-    picks = distinct_picks(
-        2, F.col("_n"), "pair", F.col("search_id"), F.col("generation"), F.col("pair"), seed=seed
-    )
-    drawn = numbered.select("search_id", "generation", "pair", F.posexplode(picks).alias("_side", "slot"))
+    numbered = with_distinct_picks(numbered, "_picks", 2, "_n", "pair", ["search_id", "generation", "pair"], seed)
+    drawn = numbered.select("search_id", "generation", "pair", F.posexplode_outer("_picks").alias("_side", "slot"))
     won = drawn.join(pool, ["search_id", "generation", "slot"])
     first = F.max(F.when(F.col("_side") == 0, F.col("ind")))
     second = F.max(F.when(F.col("_side") == 1, F.col("ind")))

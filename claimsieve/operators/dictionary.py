@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.functions.stem import with_stem
-from claimsieve.operators.layout import BROADCAST_ROWS, unpack
+from claimsieve.operators.layout import BROADCAST_ROWS, reliable, unpack
 
 
 def distinct_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -53,9 +53,9 @@ def replace_words(
 
 
 def _bounded(dictionary: DataFrame, max_rows: int) -> pa.Table | None:
-    """The dictionary itself if it has at most ``max_rows`` rows."""
-    table = dictionary.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    """The dictionary itself if it has at most ``max_rows`` rows; it is computed once and counted first."""
+    written = reliable(dictionary)
+    return written.toArrow() if written.count() <= max_rows else None
 
 
 def _positions(df: DataFrame, tokens: str) -> DataFrame:
