@@ -51,7 +51,7 @@ def compare(spark_df, connection, sql: str) -> list[str]:
         frame = frame.copy()
         for c in columns:
             if frame[c].dtype.kind == "f":
-                frame[c] = (frame[c] + 0.0).map(lambda v: f"{v:.6f}").replace("-0.000000", "0.000000")
+                frame[c] = frame[c].map(repr)
             else:
                 frame[c] = frame[c].astype(object).where(frame[c].notna(), "<null>").astype(str)
         return frame.sort_values(columns).reset_index(drop=True)
