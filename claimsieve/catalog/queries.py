@@ -241,7 +241,7 @@ def tfidf(spark, folder):
 
 @query
 def category_cap(spark, folder):
-    seen = metadata.category_counts(documents(spark, folder), SPEC.categorical, "doc_id")
+    seen = reliable(metadata.category_counts(documents(spark, folder), SPEC.categorical, "doc_id"))
     top = metadata.frequent_categories(seen, SPEC.max_categories)
     return top.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -249,7 +249,7 @@ def category_cap(spark, folder):
 @query
 def onehot(spark, folder):
     df = documents(spark, folder)
-    seen = metadata.category_counts(df, SPEC.categorical, "doc_id")
+    seen = reliable(metadata.category_counts(df, SPEC.categorical, "doc_id"))
     top = metadata.frequent_categories(seen, SPEC.max_categories)
     return metadata.onehot(df, top, SPEC.categorical, "doc_id", SPEC.max_categories)
 
@@ -259,7 +259,8 @@ def onehot_unknown(spark, folder):
     """Categories fitted on the documents labelled toxic, applied to all documents."""
     toxic = read(spark, folder, "labels").filter("toxic = 1").select("doc_id")
     df = documents(spark, folder)
-    seen = metadata.category_counts(df.join(toxic, "doc_id", "left_semi"), SPEC.categorical, "doc_id")
+    fitted = df.join(toxic, "doc_id", "left_semi")
+    seen = reliable(metadata.category_counts(fitted, SPEC.categorical, "doc_id"))
     top = metadata.frequent_categories(seen, SPEC.max_categories)
     known = seen.select("column", "category")
     return metadata.onehot(df, top, SPEC.categorical, "doc_id", SPEC.max_categories, known)

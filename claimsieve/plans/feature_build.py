@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.functions import text as words
 from claimsieve.operators import dictionary, features, metadata, terms, vectors
-from claimsieve.operators.layout import reliable_all, spread
+from claimsieve.operators.layout import reliable, reliable_all, spread
 
 READABILITY = ("avg_sentence_length", "avg_word_length", "unique_word_ratio")
 
@@ -178,17 +178,17 @@ def readability_rows(df: DataFrame, key: str, text) -> DataFrame:
 def fit(
     df: DataFrame, spec: FeatureSpec, tokens: DataFrame | None = None, lemmas: DataFrame | None = None
 ) -> FeatureModel:
-    """Fit every block on ``df``; the fitted tables are computed once and written to the shared folder."""
-    tokens = token_table(df, spec, lemmas) if tokens is None else tokens
+    """Fit every block on ``df``. ``tokens`` are its rows from :func:`token_table`, if at hand. The fitted tables are computed once and written to the shared folder."""
+    tokens = reliable(token_table(df, spec, lemmas)) if tokens is None else tokens
     counts = terms.term_counts(tokens, spec.key, "tokens", spec.longest_gram)
-    n_docs = terms.row_count(df)
+    n_docs = terms.row_count(tokens)
     tables = {
         "vocabulary": terms.vocabulary(counts, n_docs, spec.min_df, spec.max_df, spec.max_terms)
     }
     if spec.embedding:
         tables["vector_stats"] = vectors.vector_stats(df, spec.embedding)
     if spec.categorical:
-        seen = metadata.category_counts(df, spec.categorical, spec.key)
+        seen = reliable(metadata.category_counts(df, spec.categorical, spec.key))
         tables["known_categories"] = seen.select("column", "category")
         tables["categories"] = metadata.frequent_categories(seen, spec.max_categories)
     if spec.numeric:
