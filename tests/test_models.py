@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -52,15 +54,18 @@ def test_masked_genes_have_no_weight_and_groups_change_nothing(data, monkeypatch
     _, laid_out = data
     tried = [svm.Candidate(0, genes=tuple(range(20))), svm.Candidate(1), svm.Candidate(2, genes=tuple(range(20)))]
     plan = svm.TrainingPlan(passes=2)
-    together = svm.fit_models(laid_out, tried, [0, 1, 2], plan)
-    weights = together[0].weights[0][0]
-    assert np.abs(weights[20:40, :3]).max() == 0 and np.abs(weights[:20, :3]).max() > 0
-    assert np.array_equal(weights[:, :3], weights[:, 6:9])  # equal candidates, equal models
-    monkeypatch.setattr(svm, "STATE_BYTES", 1)
     apart = svm.fit_models(laid_out, tried, [0, 1, 2], plan)
-    assert len(apart) == 3
+    assert len(apart) == 3  # one shard, eight cores: one group per candidate
+    first, _, third = (models.weights[0][0] for models in apart)
+    assert np.abs(first[20:40]).max() == 0 and np.abs(first[:20]).max() > 0
+    assert np.array_equal(first, third)  # equal candidates, equal models
+    many_shards = dataclasses.replace(laid_out, shards=8)
+    together = svm.fit_models(many_shards, tried, [0, 1, 2], plan)
+    assert len(together) == 1
     one = {(r["ind"], r["fold"]): r["tp"] for r in svm.score_counts(laid_out.df, together).collect()}
     assert one == {(r["ind"], r["fold"]): r["tp"] for r in svm.score_counts(laid_out.df, apart).collect()}
+    monkeypatch.setattr(svm, "STATE_BYTES", 1)
+    assert len(svm.fit_models(many_shards, tried, [0, 1, 2], plan)) == 3
 
 
 def test_counts_agree_with_row_predictions(data):
