@@ -178,7 +178,10 @@ def readability_rows(df: DataFrame, key: str, text) -> DataFrame:
 def fit(
     df: DataFrame, spec: FeatureSpec, tokens: DataFrame | None = None, lemmas: DataFrame | None = None
 ) -> FeatureModel:
-    """Fit every block on ``df``. ``tokens`` are its rows from :func:`token_table`, if at hand. The fitted tables are computed once and written to the shared folder."""
+    """Fit every block on ``df``; ``tokens`` are its rows from :func:`token_table`, if at hand.
+
+    The fitted tables are computed once and written to the shared folder.
+    """
     tokens = reliable(token_table(df, spec, lemmas)) if tokens is None else tokens
     counts = terms.term_counts(tokens, spec.key, "tokens", spec.longest_gram)
     n_docs = terms.row_count(tokens)
