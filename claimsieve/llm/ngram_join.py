@@ -5,8 +5,8 @@ Signature trees in three steps.
 1. Trees. All shingles have one order, common ones last. Two sets that link share a shingle within the first
    quarter of each. So each such shingle is the root of a tree over the sets that have it there, and every
    linked pair meets in some tree. A shingle that only one set has there is no tree.
-2. Stars. In each tree the members are compared with the tree's first member. That joins the bulk of a
-   group of near copies with one comparison a member instead of all pairs.
+2. Stars. Each set is compared with the first member of trees that it meets most often. That joins the bulk of
+   a group of near copies with one comparison a member instead of all pairs.
 3. Dual traversal. A tree whose members are all joined is done. In the others the sets of one size band and
    hash range form a leaf and leaves form higher nodes; a node holds the OR of its sets' bitmaps, the range of
    their sizes and of their components. From the roots down, pairs of nodes are dropped when the most they can
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.llm.common import text_or_empty
-from claimsieve.operators.layout import reliable
+from claimsieve.operators.layout import reliable, unpack
 
 WIDTH = 5
 PERCENT = 75
@@ -38,6 +38,8 @@ WORDS = 16  # longs of a bitmap: 1,024 bits
 FAN_OUT = 16
 LEAF = 64
 CACHE = 400_000
+#: Odd factors, one per place in a shingle: the powers of the first.
+FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
 
 
 class WordHashes(dict):
@@ -67,10 +69,11 @@ def shingles(text: str, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     n = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(width, len(n))
-    total = np.full(len(n) - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + n[k : len(n) - size + 1 + k])
-    return np.unique(total)
+    total = n[: len(n) - size + 1] * FACTORS[0]
+    for k in range(1, size):
+        total += n[k : len(n) - size + 1 + k] * FACTORS[k]
+    total += np.uint64(size)
+    return np.unique(mixed(total))
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -78,23 +81,6 @@ def set_key(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, s): ``s`` names the set, null for an empty one."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            n, keys = [], []
-            for text in batch.column(1):
-                tokens = shingles(text.as_py(), hashes)
-                n.append(len(tokens))
-                keys.append(set_key(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n_shingles", "s"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(name, "doc_id bigint, n_shingles bigint, s bigint")
-
-
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """How common shingles are, in ``CELLS`` cells, as powers of two.
 
@@ -152,30 +138,40 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(token, s): the prefix of every set. A task names equal sets once."""
+def sets_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(doc_id, n, s, pop, bits, roots): one row per document.
+
+    ``s`` names the set, ``roots`` is its prefix, ``bits`` its bitmap with ``pop`` bits set. All are null for an
+    empty set. Of equal sets a task gives roots and bits once.
+    """
+    kind = "doc_id bigint, n bigint, s bigint, pop bigint, bits array<bigint>, roots array<bigint>"
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            tokens, keys = [], []
-            for text in batch.column(0):
-                found = shingles(text.as_py(), hashes)
-                if not len(found):
+            rows = []
+            for text in batch.column(1):
+                tokens = shingles(text.as_py(), hashes)
+                if not len(tokens):
+                    rows.append((0, None, None, None, None))
                     continue
-                key = set_key(found)
+                key = set_key(tokens)
                 if key in seen:
+                    rows.append((len(tokens), key, None, None, None))
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(key)
-                found = prefix(found, common).view(np.int64)
-                tokens.append(found)
-                keys.append(np.full(len(found), key, dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens), "s": np.concatenate(keys)})
+                bits = bitmap(tokens)
+                pop = int(np.bitwise_count(bits.view(np.uint64)).sum())
+                rows.append((len(tokens), key, pop, bits, prefix(tokens, common).view(np.int64)))
+            n, keys, pops, bits, roots = zip(*rows, strict=True) if rows else ([],) * 5
+            numbers = [pa.array(c, pa.int64()) for c in (n, keys, pops)]
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (bits, roots)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, *lists], names=["doc_id", "n", "s", "pop", "bits", "roots"])
 
-    return docs.select(text_or_empty(docs)).mapInArrow(emit, "token bigint, s bigint")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    return rows.mapInArrow(describe, kind)
 
 
 def linked(n_a: np.ndarray, n_b: np.ndarray, shared: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -248,23 +244,6 @@ def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, rows.s == named.l_s, "left").withColumn("c", F.coalesce("l_c", "s")).drop("l_s", "l_c")
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(s, n, bits, pop): size, bitmap and number of set bits of every set; rows of equal sets are equal."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            rows = [(set_key(t), len(t), bitmap(t)) for t in (shingles(x.as_py(), hashes) for x in batch.column(0)) if len(t)]
-            pops = [int(np.bitwise_count(b.view(np.uint64)).sum()) for _, _, b in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array(pops, pa.int64())],
-                names=["s", "n", "bits", "pop"],
-            )
-
-    return docs.select(text_or_empty(docs)).mapInArrow(sign, "s bigint, n bigint, bits array<bigint>, pop bigint")
-
-
 def shared_bits(a: str, b: str) -> Column:
     both = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)))
     return F.aggregate(both, F.lit(0), lambda s, x: s + x)
@@ -287,6 +266,18 @@ def possible(left: str, right: str) -> Column:
     return sizes & (most >= needed(a("low"), b("low"))) & ~same
 
 
+def worth_comparing(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave a link possible."""
+    ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    signs = described.filter("bits is not null").select("s", "n", "bits", "pop").join(ends, "s", "left_semi").groupBy("s")
+    signs = signs.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pop").alias("pop"))
+    node = F.struct("bits", "pop", F.col("n").alias("low"), F.col("n").alias("high"), F.col("s").alias("c_low"), F.col("s").alias("c_high"))
+    signs = reliable(signs.select("s", node.alias("node")))
+    both = pairs.join(signs.select(F.col("s").alias("a"), F.col("node").alias("x")), "a")
+    both = both.join(signs.select(F.col("s").alias("b"), F.col("node").alias("y")), "b")
+    return reliable(both.filter(possible("x", "y")).select("a", "b"))
+
+
 def nodes_above(nodes: DataFrame, keys: list[str]) -> DataFrame:
     bits = F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(WORDS)])
     return nodes.groupBy(*keys).agg(
@@ -295,7 +286,7 @@ def nodes_above(nodes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def bridges(trees: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+def bridges(trees: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
     """(a, b): pairs of sets of different components that the traversal of the trees can't rule out."""
     rows = with_component(trees, labels)
     open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -308,10 +299,8 @@ def bridges(trees: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
         levels += 1
     rows = rows.join(open_.withColumnsRenamed({"token": "o_token", "n": "o_n"}), F.col("token") == F.col("o_token"))
     needed_sets = rows.select("s").distinct()
-    signs = signatures(docs).join(needed_sets, "s", "left_semi").groupBy("s").agg(
-        F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pop").alias("pop")
-    )
-    signs = reliable(signs)
+    signs = described.filter("bits is not null").select("s", "n", "bits", "pop").join(needed_sets, "s", "left_semi")
+    signs = reliable(signs.groupBy("s").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pop").alias("pop")))
     rows = rows.select("token", "s", "c", "o_n").join(signs, "s")
     leaves = F.greatest(F.lit(1), F.ceil(F.col("o_n") / LEAF))
     spread = F.pmod(F.xxhash64("s"), leaves)
@@ -356,18 +345,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
     and is its own component. A row without doc_id keeps a null component and links nothing. Rows that repeat
     share their component. Other columns are not touched.
     """
-    rows = reliable(sets_of(docs))
-    known = rows.filter("doc_id is not null and s is not null")
-    sets = reliable(known.groupBy("s").agg(F.min("doc_id").alias("rep")))
     named = docs.filter(F.col("doc_id").isNotNull())
-    all_postings = postings(named, common_shingles(named))
-    roots = all_postings.groupBy("token").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    described = reliable(sets_of(docs, common_shingles(named)))
+    rows = described.select("doc_id", F.col("n").alias("n_shingles"), "s")
+    known = described.filter("doc_id is not null and s is not null")
+    sets = reliable(known.groupBy("s").agg(F.min("doc_id").alias("rep")))
+    postings = unpack(known, ["s"], F.col("roots"), "token")
+    roots = postings.groupBy("token").agg(F.min("s").alias("first"), F.max("s").alias("last"))
     roots = roots.filter("first <> last").select(F.col("token").alias("r_token"), "first")
-    trees = reliable(all_postings.join(roots, F.col("token") == F.col("r_token")).select("token", "s", "first").distinct())
-    stars = reliable(trees.filter("s <> first").select(F.col("first").alias("a"), F.col("s").alias("b")).distinct())
+    trees = reliable(postings.join(roots, F.col("token") == F.col("r_token")).select("token", "s", "first"))
+    # a set joins the first member that it meets in most trees; the traversal finds what this misses
+    stars = trees.filter("s <> first").groupBy("s", "first").agg(F.count(F.lit(1)).alias("met"))
+    stars = stars.groupBy("s").agg(F.max_by("first", F.struct("met", "first")).alias("first"))
+    stars = reliable(stars.select(F.col("first").alias("a"), F.col("s").alias("b")))
+    stars = worth_comparing(stars, known)
     links = reliable(verified(stars, named, sets))
     labels = components(links)
-    crossing = reliable(bridges(trees.select("token", "s"), labels, named))
+    crossing = reliable(bridges(trees.select("token", "s"), labels, known))
     if crossing.take(1):
         more = reliable(verified(crossing, named, sets))
         if more.take(1):

@@ -33,7 +33,7 @@ CHUNK = 32_768
 GAP = "▁"
 START, UNKNOWN = -2, -3
 LONG_WORD = 40
-CACHE = 400_000
+CACHE = 300_000
 BASE = 0x100000001B3
 NONE = -np.inf
 
@@ -71,7 +71,9 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         newline = "" if "\n" in self.ids else "\n"
         self.words = re.compile(f"{newline}|{GAP}*[^{GAP}{newline}]+|{GAP}+" if newline else f"{GAP}*[^{GAP}]+|{GAP}+")
-        self.allowed_memo: dict[tuple[int, int], bool] = {}
+        self.step_keys = np.zeros(1 << 21, dtype=np.int64)  # the steps seen lately, one a cell
+        self.step_weights = np.zeros(1 << 21)
+        self.allowed_memo: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.table()
 
@@ -108,16 +110,17 @@ class PieceModel:
         """
         if not self.merges or a < 0 or b < 0:
             return True
-        known = self.allowed_memo.get((a, b))
+        key = a << 32 | b
+        known = self.allowed_memo.get(key)
         if known is None:
             known = not any(
                 (r := self.rank(x + y)) < np.inf and r < x_until and r <= y_until and self.together(x_from, y_from, x_until, y_until)
                 for x, x_from, x_until in timed(self.spines[a][1])
                 for y, y_from, y_until in timed(self.spines[b][0])
             )
-            if len(self.allowed_memo) > 3_000_000:
+            if len(self.allowed_memo) > 200_000:
                 self.allowed_memo.clear()
-            self.allowed_memo[a, b] = known
+            self.allowed_memo[key] = known
         return known
 
     @staticmethod
@@ -129,12 +132,18 @@ class PieceModel:
     def table(self) -> None:
         names = [*self.ids]
         self.hash_of = np.array([self.hash(s) for s in names], dtype=np.uint64)
-        order = np.argsort(self.hash_of)
-        self.hash_of = self.hash_of[order]
-        self.id_of = np.array([self.ids[s] for s in names], dtype=np.int64)[order]
+        self.id_of = np.array([self.ids[s] for s in names], dtype=np.int64)
         self.lengths = np.array([len(s) for s in self.surface])
         if len(np.unique(self.hash_of)) != len(names):
             raise ValueError("two pieces have one hash")
+        self.tables, left, factor = [], np.arange(len(names)), 0x9E3779B97F4A7C15
+        while len(left):  # what finds its cell taken goes to the next table; two or three are enough
+            cells = np.full(1 << 19, -1, dtype=np.int32)
+            at = (self.hash_of[left] * np.uint64(factor)) >> np.uint64(45)
+            cells[at] = left
+            self.tables.append((np.uint64(factor), cells))
+            left = left[cells[at] != left]
+            factor = (factor * 0xD1342543DE82EF95 + 2) & 0xFFFFFFFFFFFFFFFF | 1
 
     @staticmethod
     def hash(s: str) -> int:
@@ -144,8 +153,11 @@ class PieceModel:
         return h
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hash_of, hashes), len(self.hash_of) - 1)
-        return np.where(self.hash_of[at] == hashes, self.id_of[at], -1)
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        for factor, cells in self.tables:
+            at = cells[(hashes * factor) >> np.uint64(45)]
+            out = np.where((at >= 0) & (self.hash_of[at] == hashes), self.id_of[at], out)
+        return out
 
     # ---- words ------------------------------------------------------------------------------------
 
@@ -182,22 +194,40 @@ class PieceModel:
                 rows, piece, new = rows[better], piece[better], new[better]
                 weight[rows, i] = new
                 last[rows, i] = piece
-        out = []
-        for row, word in enumerate(words):
-            path, i = [], len(word)
-            while i > 0:
-                piece = int(last[row, i])
-                path.append(piece if piece >= 0 else word[i - 1])
-                i -= int(self.lengths[piece]) if piece >= 0 else 1
-            out.append(self.written(path[::-1]))
+        return self.paths(words, size, last)
+
+    def paths(self, words: list[str], size: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Walk back from the end of every word, one piece of each word at a time."""
+        n, at, taken = len(words), size.copy(), []
+        while at.any():
+            here = np.where(at > 0, last[np.arange(n), at], -1)
+            taken.append(here)
+            at -= np.where(at > 0, np.where(here >= 0, self.lengths[here], 1), 0)
+        table = np.array(taken[::-1], dtype=np.int32).T
+        used = table != -1
+        ends = np.cumsum(used.sum(axis=1)) * 4
+        flat = table[used].tobytes()
+        out = [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
+        for row in np.flatnonzero((table == UNKNOWN).any(axis=1)):
+            path, i = [], 0
+            for piece in table[row][used[row]].tolist():
+                path.append(piece if piece >= 0 else words[row][i])
+                i += int(self.lengths[piece]) if piece >= 0 else 1
+            out[row] = self.written(path)
         return out
 
     def steps(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         if not self.merges:
             return np.where(piece >= 0, self.score[piece], self.unknown_score)
-        keys, where = np.unique((before + 8) * (1 << 32) + piece + 8, return_inverse=True)
-        pairs = zip((keys >> 32) - 8, (keys & 0xFFFFFFFF) - 8, strict=True)
-        return np.array([0.0 if self.allowed(int(a), int(b)) else NONE for a, b in pairs])[where]
+        keys = (before + 8) * (1 << 32) + piece + 8
+        cell = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        for i in np.flatnonzero(self.step_keys[cell] != keys):
+            self.step_keys[cell[i]] = keys[i]
+            self.step_weights[cell[i]] = 0.0 if self.allowed(int(before[i]), int(piece[i])) else NONE
+        out = self.step_weights[cell]
+        for i in np.flatnonzero(self.step_keys[cell] != keys):  # two steps of one cell
+            out[i] = 0.0 if self.allowed(int(before[i]), int(piece[i])) else NONE
+        return out
 
     def written(self, path: list) -> bytes:
         """Ids of a path; an unknown letter by its bytes."""
@@ -331,6 +361,17 @@ def timed(spine: list) -> Iterator[tuple[str, float, float]]:
         since = max(since, until)
 
 
+LOADED: dict[bytes, PieceModel] = {}
+
+
+def pieces_of(model: bytes) -> PieceModel:
+    """The model, with the words it has seen: kept by a worker from task to task."""
+    if model not in LOADED:
+        LOADED.clear()
+        LOADED[model] = PieceModel(model)
+    return LOADED[model]
+
+
 def load(path: str = MODEL) -> bytes:
     """The model file's bytes, read by the driver: a vocabulary, so of bounded size."""
     return SentencePieceProcessor(model_file=path).serialized_model_proto()
@@ -341,16 +382,16 @@ def list_array(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
 
-def grouped(texts: list[str], letters: int = 1_000_000) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
+def slices(batch: pa.RecordBatch, column: int, letters: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many letters of text each."""
+    start, size = 0, 0
+    for i, text in enumerate(batch.column(column)):
+        size += len(text.as_buffer() or b"")
         if size > letters:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
@@ -364,10 +405,9 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
     key_type = docs.schema["doc_id"].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(model)
-        for batch in batches:
-            texts = [pieces.normal(t) for t in batch.column(2).to_pylist()]
-            ids = [x for part in grouped(texts) for x in pieces.encode_normal(part)]
+        pieces = pieces_of(model)
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            ids = pieces.encode_normal([pieces.normal(t) for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(ids)], names=["doc_id", "check", "token_ids"])
 
     schema = f"doc_id {key_type}, check bigint, token_ids array<int>"
@@ -380,7 +420,7 @@ def encode_long(rows: DataFrame, model: bytes, chunk: int, key_type: str) -> Dat
     kind = f"doc_id {key_type}, check bigint, nth int, run int, hard boolean, soft_left boolean, soft_right boolean, left string, text string, right string"
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = PieceModel(model)
+        pieces = pieces_of(model)
         for frame in frames:
             for doc_id, check, text in frame.itertuples(index=False):
                 text = pieces.normal(text)
@@ -400,7 +440,7 @@ def encode_long(rows: DataFrame, model: bytes, chunk: int, key_type: str) -> Dat
     keys = ["doc_id", "check", "run"]
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = PieceModel(model)
+        pieces = pieces_of(model)
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
@@ -415,7 +455,7 @@ def encode_long(rows: DataFrame, model: bytes, chunk: int, key_type: str) -> Dat
     known = known.select("doc_id", "check", "nth", "left", "text", "right", "entry", "exit")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(model)
+        pieces = pieces_of(model)
         for batch in batches:
             ids = []
             for r in batch.to_pylist():
@@ -458,7 +498,7 @@ def decode(tokens: DataFrame, model: bytes, columns: list[str]) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*columns).schema.fields)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(model)
+        pieces = pieces_of(model)
         for batch in batches:
             texts = [pieces.decode(np.asarray(x.values)) for x in batch.column(batch.num_columns - 1)]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
