@@ -65,15 +65,19 @@ STATISTICS = (
 
 
 def stat(name: str) -> Column:
-    return F.col(f"stat_of_text_{name}")
+    return F.col(f"stats_of_row.{name}")
 
 
 def with_statistics(df: DataFrame) -> DataFrame:
-    """One plain column per statistic. The optimizer repeats no costly column that several others use, but it
-    would repeat the fields of a struct."""
+    """``stats_of_row``: all statistics of a text.
+
+    The struct passes through a generator, which no filter and no projection is merged with: otherwise the
+    optimizer would put the text expressions in the place of every use, once per comparison of every rule.
+    """
     rows = df.withColumn("words_of_row", words_of(text_or_empty(df)))
     stats = statistics(F.coalesce("text", F.lit("")), F.col("words_of_row"))
-    return rows.withColumns({f"stat_of_text_{n}": c for n, c in stats.items()}).drop("words_of_row")
+    row = F.array(F.struct(*[c.alias(n) for n, c in stats.items()]))
+    return rows.select(*df.columns, F.explode_outer(row).alias("stats_of_row"))
 
 
 def tree_rules(description: str, names: list[str]) -> list[Rule]:
