@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from claimsieve.llm.common import text_or_empty
 
-BLOCK_ROWS = 64
+BLOCK_ROWS = 16
 CYCLE = 1_000
 MAX_SOURCES = 200
 BUCKET_ROWS = 10_000
@@ -37,15 +37,19 @@ def tempered(counts: list[tuple[str, int]], power: float = 0.5) -> dict[str, flo
     return {name: n**power for name, n in counts}
 
 
-def phases(units: list[int], blocks: list[int]) -> list[dict]:
+def phases(weights: list[float], blocks: list[int], cycle: int = CYCLE) -> list[dict]:
     """The cycles of the whole run: who takes part, with how many blocks a cycle, for how many cycles.
 
-    A phase ends when a source has too few blocks for another full cycle; what it has left is its
-    share of the next phase. There are at most two phases a source.
+    In each phase the sources with blocks left share a cycle by weight, to the nearest block; the cycle is as long
+    as ``cycle`` and the source that runs out first allow. The phase ends when some source has too few blocks for
+    one more cycle.
     """
-    left, taken, start, out = list(blocks), [0] * len(units), 0, []
+    left, taken, start, out = list(blocks), [0] * len(weights), 0, []
     while any(left):
-        share = [min(u, n) for u, n in zip(units, left, strict=True)]
+        total = sum(w for w, n in zip(weights, left, strict=True) if n)
+        slots = min(n * total / w for w, n in zip(weights, left, strict=True) if n)
+        slots = max(1, min(cycle, int(slots)))
+        share = [min(n, max(1, round(slots * w / total))) if n else 0 for w, n in zip(weights, left, strict=True)]
         cycles = min(n // u for u, n in zip(share, left, strict=True) if u)
         length = sum(share)
         out.append({"phase": len(out), "start": start, "length": length, "share": share, "before": list(taken), "cycles": cycles})
@@ -143,9 +147,7 @@ def mix(
 
     counted = {r.place: r.n for r in docs.select(place.alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = [counted.get(i, 0) for i in range(len(wanted))]
-    present = sum(w for w, n in zip(wanted, sizes, strict=True) if n) or 1.0
-    units = [max(1, round(cycle * w / present)) if n else 0 for w, n in zip(wanted, sizes, strict=True)]
-    steps = phases(units, [-(-n // block_rows) for n in sizes])
+    steps = phases([max(w, 1e-9) for w in wanted], [-(-n // block_rows) for n in sizes], cycle)
 
     # number the rows of a source without one task seeing them all: uniform ranges of the draw, counted, then offset
     ranges = F.array(*[F.lit(max(1, -(-n // BUCKET_ROWS))).cast("long") for n in sizes])

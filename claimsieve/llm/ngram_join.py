@@ -5,13 +5,13 @@ Signature trees in three steps.
 1. Trees. All shingles have one order, common ones last. Two sets that link share a shingle within the first
    quarter of each. So each such shingle is the root of a tree over the sets that have it there, and every
    linked pair meets in some tree. A shingle that only one set has there is no tree.
-2. Stars. Each set is compared with the first member of trees that it meets most often. That joins the bulk of
-   a group of near copies with one comparison a member instead of all pairs.
+2. Stars. Each set is compared with the one member of its trees that stands for most of them, in a few rounds
+   with another member each. That joins the bulk of a group of near copies without all its pairs.
 3. Dual traversal. A tree whose members are all joined is done. In the others the sets of one size band and
    hash range form a leaf and leaves form higher nodes; a node holds the OR of its sets' bitmaps, the range of
    their sizes and of their components. From the roots down, pairs of nodes are dropped when the most they can
    share is below what their sizes need, or when both hold one and the same component. Pairs of sets that
-   remain are compared shingle by shingle.
+   remain are compared shingle by shingle, first a few for every two components, then the rest.
 
 Equal sets are one set from the start. Only components are asked for, so pairs inside a component need no
 comparison; every link between two components is found.
@@ -26,9 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimsieve.llm.common import text_or_empty
-from claimsieve.operators.layout import reliable, unpack
+from claimsieve.operators.layout import BROADCAST_ROWS, reliable, unpack
 
 WIDTH = 5
 PERCENT = 75
@@ -36,6 +37,7 @@ CELLS = 1 << 20  # of the table of common shingles
 LOCAL = 3  # sets of one task that have a shingle before it counts as common
 WORDS = 16  # longs of a bitmap: 1,024 bits
 FAN_OUT = 16
+STAR_ROUNDS = 3
 LEAF = 64
 CACHE = 400_000
 #: Odd factors, one per place in a shingle: the powers of the first.
@@ -183,7 +185,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("d"), text_or_empty(docs).alias("text")).filter("d is not null")
     one = sets.select("s", F.col("rep").alias("d"))
     ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    wanted = ends.join(one, "s")
+    wanted = reliable(ends.join(one, "s"))
+    if wanted.count() <= BROADCAST_ROWS:  # two numbers a row; beyond that the texts are shuffled
+        wanted = F.broadcast(wanted)
     texts = wanted.join(text, "d").select("s", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +282,37 @@ def worth_comparing(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return reliable(both.filter(possible("x", "y")).select("a", "b"))
 
 
+def star_pairs(trees: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each set and the member of another component that stands for most of its trees.
+
+    The member that stands for a tree is a hashed minimum, so it is found map-side and another one every round. Of
+    the pairs between two components the two that meet in most trees are compared.
+    """
+    rows = with_component(trees, labels)
+    order = F.xxhash64(F.lit(seed), "s")
+    heads = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("s", "c"), order).alias("head"))
+    heads = heads.filter("lo <> hi").select(F.col("token").alias("h_token"), "head")
+    met = rows.join(heads, F.col("token") == F.col("h_token")).filter(F.col("c") != F.col("head.c"))
+    met = met.groupBy("s", "c", "head").agg(F.count(F.lit(1)).alias("met"))
+    best = met.groupBy("s", "c").agg(F.max_by("head", F.struct("met", "head")).alias("head"), F.max("met").alias("met"))
+    sides = Window.partitionBy(F.least("c", "head.c"), F.greatest("c", "head.c")).orderBy(F.desc("met"), "s")
+    best = best.withColumn("nth", F.row_number().over(sides)).filter(F.col("nth") <= 2)
+    return reliable(best.select(F.col("head.s").alias("a"), F.col("s").alias("b")))
+
+
+def next_pairs(pairs: DataFrame, labels: DataFrame, at_once: int | None) -> tuple[DataFrame, DataFrame]:
+    """The pairs that are left, and those to compare now: some for every two components, all if ``at_once`` is None.
+
+    A link found joins two components and makes their other pairs needless."""
+    rows = with_component(pairs.select(F.col("a").alias("s"), "b"), labels).withColumnsRenamed({"s": "a", "c": "c_a"})
+    rows = with_component(rows.withColumnRenamed("b", "s"), labels).withColumnsRenamed({"s": "b", "c": "c_b"})
+    sides = Window.partitionBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).orderBy(F.xxhash64("a", "b"), "a", "b")
+    rows = reliable(rows.filter("c_a <> c_b").withColumn("nth", F.row_number().over(sides)).select("a", "b", "nth"))
+    if at_once is None:
+        return rows.select("a", "b").limit(0), rows.select("a", "b")
+    return rows.filter(F.col("nth") > at_once).select("a", "b"), rows.filter(F.col("nth") <= at_once).select("a", "b")
+
+
 def nodes_above(nodes: DataFrame, keys: list[str]) -> DataFrame:
     bits = F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(WORDS)])
     return nodes.groupBy(*keys).agg(
@@ -351,21 +386,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
     known = described.filter("doc_id is not null and s is not null")
     sets = reliable(known.groupBy("s").agg(F.min("doc_id").alias("rep")))
     postings = unpack(known, ["s"], F.col("roots"), "token")
-    roots = postings.groupBy("token").agg(F.min("s").alias("first"), F.max("s").alias("last"))
-    roots = roots.filter("first <> last").select(F.col("token").alias("r_token"), "first")
-    trees = reliable(postings.join(roots, F.col("token") == F.col("r_token")).select("token", "s", "first"))
-    # a set joins the first member that it meets in most trees; the traversal finds what this misses
-    stars = trees.filter("s <> first").groupBy("s", "first").agg(F.count(F.lit(1)).alias("met"))
-    stars = stars.groupBy("s").agg(F.max_by("first", F.struct("met", "first")).alias("first"))
-    stars = reliable(stars.select(F.col("first").alias("a"), F.col("s").alias("b")))
-    stars = worth_comparing(stars, known)
-    links = reliable(verified(stars, named, sets))
+    roots = postings.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    roots = roots.filter("lo <> hi").select(F.col("token").alias("r_token"))
+    trees = reliable(postings.join(roots, F.col("token") == F.col("r_token")).select("token", "s"))
+    links = reliable(trees.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
     labels = components(links)
-    crossing = reliable(bridges(trees.select("token", "s"), labels, known))
-    if crossing.take(1):
-        more = reliable(verified(crossing, named, sets))
-        if more.take(1):
-            labels = components(links.unionByName(more))
+    for number in range(STAR_ROUNDS):
+        stars = worth_comparing(star_pairs(trees, labels, number), known)
+        found = reliable(verified(stars, named, sets))
+        if not found.take(1):
+            break
+        links = reliable(links.unionByName(found))
+        labels = components(links)
+    crossing = reliable(bridges(trees, labels, known))
+    for at_once in (1, 16, 256, None):
+        crossing, chosen = next_pairs(crossing, labels, at_once)
+        if not chosen.take(1):
+            break
+        links = reliable(links.unionByName(verified(chosen, named, sets)))
+        labels = components(links)
     label_of = with_component(sets, labels)
     smallest = label_of.groupBy("c").agg(F.min("rep").alias("component")).withColumnRenamed("c", "m_c")
     label_of = label_of.join(smallest, F.col("c") == F.col("m_c")).select(F.col("s").alias("k_s"), "component")

@@ -141,7 +141,8 @@ def restored(text: str, restorer: Restorer, cache: dict[str, str]) -> list[str]:
             cache[word] = clean
         out.append(clean)
     for m in SPACED.finditer(text.lower()):
-        out.append(restorer.restore(re.sub(r"[\W_]", "", m[0])))
+        spelt = restorer.restore(re.sub(r"[\W_]", "", m[0]))
+        out += [spelt, spelt[1:], spelt[:-1]]  # the first or last letter may be a word of its own
     return out
 
 
