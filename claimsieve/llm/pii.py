@@ -70,7 +70,7 @@ def letter(alphabet: str, seed: Column, at: Column) -> Column:
 
 def reshaped(text: Column, seed: Column) -> Column:
     """Each digit, small and capital letter by another of its kind; all else stays."""
-    hexadecimal = text.rlike("^[0-9a-f]+$")
+    hexadecimal = text.rlike("^[0-9a-f]+$") & text.rlike("[a-f]")
 
     def one(c: Column, i: Column) -> Column:
         return (
