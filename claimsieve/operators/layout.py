@@ -31,15 +31,28 @@ def unpack(df: DataFrame, keys: list[str], items, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for CPU-heavy row work on a small input that comes in few splits.
 
-    An input with fewer splits than two per core is at most a few hundred MB per core, so moving its
-    rows is cheap. A large input already has many splits and is left where it is.
+    An input smaller than two full splits per core is at most a few hundred MB per core, so moving its rows is
+    cheap. A larger one has enough splits and is left where it is. The size is that of the tables below, as the
+    optimizer knows it; no job runs to find it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if input_bytes(df) >= 2 * cores * split_bytes(spark):
         return df
     return df.repartition(cores, *keys)
 
 
+def input_bytes(df: DataFrame) -> int:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def split_bytes(spark: SparkSession) -> int:
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    units = {"k": 10, "m": 20, "g": 30}
+    return int(size[:-1]) << units[size[-1]] if size[-1] in units else int(size)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster shares: ``spark.checkpoint.dir``, or a temporary one in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
