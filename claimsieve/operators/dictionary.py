@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.functions.stem import with_stem
-from claimsieve.operators.layout import BROADCAST_ROWS, reliable, unpack
+from claimsieve.operators.layout import BROADCAST_ROWS, broadcast_if_bounded, reliable, unpack
 
 
 def distinct_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return unpack(df, [], F.array_distinct(tokens), "token").distinct()
+    """(token, n): every word and the number of rows that have it."""
+    return unpack(df, [], F.array_distinct(tokens), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stem_dictionary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(token, stem) of every distinct token: each word is stemmed once, not once per occurrence."""
+    """(token, n, stem) of every distinct token: each word is stemmed once, not once per occurrence."""
     return with_stem(distinct_tokens(df, tokens), "token", "stem")
 
 
@@ -52,37 +53,39 @@ def replace_words(
     return df.mapInArrow(swap, df.schema)
 
 
-def _bounded(dictionary: DataFrame, max_rows: int) -> pa.Table | None:
-    """The dictionary itself if it has at most ``max_rows`` rows; it is computed once and counted first."""
-    written = reliable(dictionary)
-    return written.toArrow() if written.count() <= max_rows else None
+def _replace(df: DataFrame, dictionary: DataFrame, tokens: str, min_length: int, max_rows: int) -> DataFrame:
+    """Swap words by ``dictionary(token, n, new)``; the result is the same for every size of it.
 
-
-def _positions(df: DataFrame, tokens: str) -> DataFrame:
-    others = [c for c in df.columns if c != tokens]
-    return df.select(*others, F.posexplode_outer(tokens).alias("pos", "token"))
-
-
-def _collect(words: DataFrame, keys: list[str], word: str, min_length: int, out: str) -> DataFrame:
-    placed = F.when(F.length(word) >= min_length, F.struct("pos", F.col(word).alias("word")))
-    ordered = F.sort_array(F.collect_list(placed))
-    return words.groupBy(*keys).agg(F.transform(ordered, lambda x: x["word"]).alias(out))
+    The ``max_rows`` most frequent words go to every task. Only rarer words leave their row: each once per row
+    that has it, with a number of the row, so frequent words never meet in one task and rows stay apart even
+    when all their columns are equal.
+    """
+    written = reliable(dictionary.select("token", "n", "new"))
+    if written.count() <= max_rows:
+        return replace_words(df, written.select("token", "new").toArrow(), tokens, min_length)
+    frequent = reliable(written.orderBy(F.desc("n"), "token").limit(max_rows).select("token", "new"))
+    rows = reliable(df.withColumn("_row", F.monotonically_increasing_id()))
+    names = broadcast_if_bounded(frequent.select("token"), max_rows)
+    rare = written.select("token", "new").join(names, "token", "left_anti")
+    left = unpack(rows, ["_row"], F.array_distinct(tokens), "token").join(names, "token", "left_anti")
+    found = left.join(rare, "token").groupBy("_row")
+    found = found.agg(F.map_from_entries(F.collect_list(F.struct("token", "new"))).alias("_rare"))
+    rest = F.transform(tokens, lambda t: F.element_at("_rare", t))
+    rows = rows.join(found, "_row", "left").withColumn("_rare", F.coalesce(rest, F.array().cast("array<string>")))
+    rows = replace_words(rows, frequent.toArrow(), tokens, 0)
+    merged = F.zip_with(tokens, "_rare", lambda word, new: F.coalesce(new, word))
+    return rows.withColumn(tokens, F.filter(merged, lambda w: F.length(w) >= min_length)).select(*df.columns)
 
 
 def stem_tokens(
     df: DataFrame, tokens: str = "tokens", min_length: int = 1, max_dictionary: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Stem every token and drop stems shorter than ``min_length``; rows are unique in the other columns.
+    """Stem every token and drop stems shorter than ``min_length``.
 
-    The distinct words are stemmed once. Up to ``max_dictionary`` words, the dictionary goes to every
-    task. A larger one is not used at all: the stem expression then runs on every occurrence, which
-    needs no join and so cannot be skewed by frequent words.
+    The distinct words are stemmed once; the ``max_dictionary`` most frequent ones go to every task.
     """
-    dictionary = _bounded(stem_dictionary(df, tokens), max_dictionary)
-    if dictionary is not None:
-        return replace_words(df, dictionary, tokens, min_length)
-    others = [c for c in df.columns if c != tokens]
-    return _collect(with_stem(_positions(df, tokens), "token", "stem"), others, "stem", min_length, tokens)
+    dictionary = stem_dictionary(df, tokens).withColumnRenamed("stem", "new")
+    return _replace(df, dictionary, tokens, min_length, max_dictionary)
 
 
 def lemma_lookup(
@@ -92,17 +95,11 @@ def lemma_lookup(
     min_length: int = 1,
     max_dictionary: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Replace tokens by their lemma where ``lemmas(token, lemma)`` has one; rows are unique in the other
-    columns.
+    """Replace tokens by their lemma where ``lemmas(token, lemma)`` has one.
 
-    Only lemmas of words that occur are used: the distinct words meet the lexicon first. If that still
-    leaves more than ``max_dictionary`` of them, the token rows are joined instead.
+    Only lemmas of words that occur are used: the distinct words meet the lexicon first. The ``max_dictionary``
+    most frequent ones go to every task.
     """
-    used = lemmas.select("token", "lemma").dropDuplicates(["token"])
-    used = used.join(distinct_tokens(df, tokens), "token", "left_semi")
-    dictionary = _bounded(used, max_dictionary)
-    if dictionary is not None:
-        return replace_words(df, dictionary, tokens, min_length)
-    others = [c for c in df.columns if c != tokens]
-    words = _positions(df, tokens).join(used, "token", "left")
-    return _collect(words.withColumn("_lemma", F.coalesce("lemma", "token")), others, "_lemma", min_length, tokens)
+    known = lemmas.select("token", F.col("lemma").alias("new")).dropDuplicates(["token"])
+    dictionary = known.join(distinct_tokens(df, tokens), "token").filter(F.col("new").isNotNull())
+    return _replace(df, dictionary, tokens, min_length, max_dictionary)

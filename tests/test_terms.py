@@ -101,6 +101,14 @@ def test_large_dictionary_takes_the_other_way(spark):
     assert small == {r["doc_id"]: r["tokens"] for r in large.collect()} == {1: ["run", "cat", "run"], 2: []}
 
 
+def test_rows_with_equal_keys_stay_apart_at_any_dictionary_size(spark):
+    rows = [(1, ["dogs", "ran"]), (1, ["cats"]), (1, ["cats"]), (2, ["cats", "dogs", "running"])]
+    lemmas = spark.createDataFrame([("dogs", "dog"), ("cats", "cat"), ("ran", "run")], "token string, lemma string")
+    for swap in (dictionary.stem_tokens, lambda df, **more: dictionary.lemma_lookup(df, lemmas, **more)):
+        found = [sorted(map(repr, swap(table(spark, rows), max_dictionary=n).collect())) for n in (100, 2, 1)]
+        assert len(found[0]) == 4 and found[0] == found[1] == found[2]
+
+
 def test_lemma_lookup(spark):
     df = table(spark, [(1, ["geese", "fly", "geese"]), (2, ["fly"])])
     lemmas = spark.createDataFrame([("geese", "goose"), ("mice", "mouse"), ("fly", "fl")], "token string, lemma string")
