@@ -8,14 +8,18 @@ joined by hash and by their words, so a span that has the votes has the words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimsieve.llm.common import ascii_lower, null_safe, text_or_empty
-from claimsieve.operators.layout import unpack
+from claimsieve.llm.common import FACTORS, UPPER, WordHashes, mixed, null_safe, text_or_empty
 
 GRAM = 2
+ROWS = 200_000  # 2-grams of one Arrow batch, more only for a text that has more
 MAX_DRIFT = 8
 MIN_COVER = 0.8
 #: label, phrase. The base phrases count only word by word.
@@ -41,30 +45,93 @@ EXACT_BELOW = 6  # a notice with fewer words must be there word by word
 
 
 def template_grams(spark: SparkSession, base: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """(t_hash, t_gram, template, label, is_base, at, n_grams): bounded by the size of the template lists."""
-    rows = []
+    """(t_hash, t_w0, t_w1, template, label, is_base, at, n_grams): bounded by the size of the template lists."""
+    rows, hashes = [], WordHashes()
     for number, (label, phrase, is_base) in enumerate(
         [(label, phrase, True) for phrase, label in base.items()] + [(k, v, False) for k, v in notices.items()]
     ):
-        words = phrase.split()
+        words = words_of(phrase)
         if len(words) < GRAM:
             raise ValueError(f"a template has at least {GRAM} words: {phrase!r}")
-        for at in range(len(words) - GRAM + 1):
-            rows.append(
-                F.struct(
-                    F.lit(" ".join(words[at : at + GRAM])).alias("t_gram"), F.lit(number).alias("template"),
-                    F.lit(label).alias("label"), F.lit(is_base).alias("is_base"), F.lit(at).alias("at"),
-                    F.lit(len(words) - GRAM + 1).alias("n_grams"),
-                )
-            )
-    table = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
-    return table.withColumn("t_hash", F.xxhash64("t_gram"))
+        n_grams = len(words) - GRAM + 1
+        for at, value in enumerate(gram_hashes(words, hashes).view(np.int64).tolist()):
+            rows.append((value, *map(bytearray, words[at : at + GRAM]), number, label, is_base, at, n_grams))
+    own = ", ".join(f"t_w{k} binary" for k in range(GRAM))
+    return spark.createDataFrame(rows, f"t_hash bigint, {own}, template int, label string, is_base boolean, at int, n_grams int")
+
+
+#: A-Z become lower case, all other ASCII signs but letters and digits become a space; other bytes stay.
+WORD_BYTES = bytes(
+    ord(chr(b).lower()) if chr(b) in UPPER else b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256)
+)
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case, in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+
+
+def gram_hashes(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """The hash of each run of ``GRAM`` words: one fewer than words, none for a text with fewer words."""
+    count = max(0, len(words) - GRAM + 1)
+    n = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    total = np.zeros(count, dtype=np.uint64)
+    for k in range(GRAM):
+        total += n[k : k + count] * FACTORS[k]
+    return mixed(total)
+
+
+def word_columns(words: list[bytes], count: int) -> list[pa.Array]:
+    """The first, second, ... word of each run, as views of one buffer."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    if ends[-1] >= 1 << 31:  # beyond the offsets of an Arrow column
+        raise ValueError("a text holds more than 2 GB of words")
+    data = pa.py_buffer(b"".join(words))
+    return [
+        pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer(ends[k : k + count + 1].astype(np.int32)), data])
+        for k in range(GRAM)
+    ]
 
 
-def words_of(text: Column) -> Column:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case."""
-    parts = F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.filter(parts, lambda w: w != "")
+def grams(docs: DataFrame) -> DataFrame:
+    """(doc_id, check, i, h, w0, w1): every 2-gram of every text, by its place, hash and words.
+
+    ``check`` is a hash of the text, so that rows with the same doc_id but other texts stay apart.
+    """
+    own = ", ".join(f"w{k} binary" for k in range(GRAM))
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    text = text_or_empty(docs)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            held, rows = [], 0
+
+            def joined() -> pa.RecordBatch:
+                at = pa.array(np.repeat([h[0] for h in held], [len(h[1]) for h in held]))
+                place = np.concatenate([np.arange(len(h[1])) for h in held])
+                columns = [pa.concat_arrays([h[2][k] for h in held]) for k in range(GRAM)]
+                found = pa.array(np.concatenate([h[1] for h in held]).view(np.int64))
+                keys = [batch.column(c).take(at) for c in (0, 1)]
+                names = ["doc_id", "check", "i", "h", *[f"w{k}" for k in range(GRAM)]]
+                return pa.RecordBatch.from_arrays([*keys, pa.array(place, pa.int64()), found, *columns], names=names)
+
+            for number, value in enumerate(batch.column(2)):
+                words = words_of(value.as_py())
+                if len(words) < GRAM:
+                    continue
+                found = gram_hashes(words, hashes)
+                held.append((number, found, word_columns(words, len(found))))
+                rows += len(found)
+                if rows >= ROWS:
+                    yield joined()
+                    held, rows = [], 0
+            if held:
+                yield joined()
+
+    named = docs.select("doc_id", F.xxhash64(text).alias("check"), text.alias("text"))
+    return named.mapInArrow(cut, f"doc_id {doc_id}, check bigint, i bigint, h bigint, {own}")
 
 
 def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
@@ -75,16 +142,11 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
     """
     spark = docs.sparkSession
     base, notices = BASE if base is None else base, NOTICES if notices is None else notices
-    text = text_or_empty(docs)
-    rows = docs.select("doc_id", F.xxhash64(text).alias("check"), words_of(text).alias("words"))
-    words = F.col("words")
-    grams = F.transform(
-        words, lambda w, i: F.struct(i.alias("i"), F.concat_ws(" ", *[F.get(words, i + k) for k in range(GRAM)]).alias("g"))
-    )
-    hits = unpack(rows.filter(F.size("words") >= GRAM), ["doc_id", "check"], grams, "x")
-    hits = hits.select("doc_id", "check", F.col("x.i").alias("i"), F.col("x.g").alias("g"))
     templates = F.broadcast(template_grams(spark, base, notices))
-    hits = hits.join(templates, (F.xxhash64("g") == F.col("t_hash")) & (F.col("g") == F.col("t_gram")))
+    same = F.col("h") == F.col("t_hash")
+    for k in range(GRAM):
+        same = same & (F.col(f"w{k}") == F.col(f"t_w{k}"))
+    hits = grams(docs).join(templates, same)
     # one row a diagonal: votes are added map-side. Rows that repeat in full vote once for each place.
     key = ["doc_id", "check", "template", "label", "is_base", "n_grams"]
     votes = hits.groupBy(*key, (F.col("i") - F.col("at")).alias("diagonal")).agg(
