@@ -203,9 +203,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(s, c): the smallest set name reachable from each set that has a link, by alternating large and small stars.
 
     Every round writes its edges to the shared folder. The number of rounds grows with the logarithm of the
-    longest path; a run that does not settle fails instead of giving half a result.
+    longest path; a run that does not settle fails instead of giving half a result. Edges are distinct, so two
+    rounds with the same count and the same two 64-bit sums of hashes have the same edges.
     """
+
+    def sign(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64(F.lit(k), "a", "b")) for k in range(2)]).first())
+
     edges = reliable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = sign(edges)
+    if not before[0]:
+        return edges.select(F.col("a").alias("s"), F.col("b").alias("c"))
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -214,10 +222,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         fresh = reliable(small.filter("a <> b").distinct())
-        change = fresh.exceptAll(edges).take(1) or edges.exceptAll(fresh).take(1)
-        edges = fresh
-        if not change:
+        edges, after = fresh, sign(fresh)
+        if after == before:
             break
+        before = after
     else:
         raise ValueError("components did not settle")
     return edges.select(F.col("a").alias("s"), F.col("b").alias("c"))
@@ -229,6 +237,16 @@ def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, rows.s == named.l_s, "left").withColumn("c", F.coalesce("l_c", "s")).drop("l_s", "l_c")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels as :func:`components` gives them, after further links (a, b): only the components that these join are
+    gone through, so later rounds are as large as what they find."""
+    ends = with_component(links.select(F.col("a").alias("s"), "b"), labels).select(F.col("c").alias("c_a"), F.col("b").alias("s"))
+    ends = with_component(ends, labels).select(F.col("c_a").alias("a"), F.col("c").alias("b"))
+    joined = components(ends)
+    moved = with_component(labels.select(F.col("c").alias("s"), F.col("s").alias("member")), joined)
+    return reliable(moved.select(F.col("member").alias("s"), "c").unionByName(joined))
+
+
 def shared_bits(a: str, b: str) -> Column:
     both = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)))
     return F.aggregate(both, F.lit(0), lambda s, x: s + x)
@@ -370,22 +388,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     roots = postings.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     roots = roots.filter("lo <> hi").select(F.col("token").alias("r_token"))
     trees = reliable(postings.join(roots, F.col("token") == F.col("r_token")).select("token", "s"))
-    links = reliable(trees.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
-    labels = components(links)
+    labels = components(trees.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
     for number in range(STAR_ROUNDS):
         stars = worth_comparing(star_pairs(trees, labels, number), known)
         found = reliable(verified(stars, named, sets))
         if not found.take(1):
             break
-        links = reliable(links.unionByName(found))
-        labels = components(links)
+        labels = merged(labels, found)
     crossing = reliable(bridges(trees, labels, known))
     for at_once in (1, 16, 256, None):
         crossing, chosen = next_pairs(crossing, labels, at_once)
         if not chosen.take(1):
             break
-        links = reliable(links.unionByName(verified(chosen, named, sets)))
-        labels = components(links)
+        labels = merged(labels, verified(chosen, named, sets))
     label_of = with_component(sets, labels)
     smallest = label_of.groupBy("c").agg(F.min("rep").alias("component")).withColumnRenamed("c", "m_c")
     label_of = label_of.join(smallest, F.col("c") == F.col("m_c")).select(F.col("s").alias("k_s"), "component")
