@@ -1,8 +1,8 @@
-"""A bounded, repeatable sample of labelled documents to fit a classifier on."""
+"""A bounded, repeatable sample of labelled documents to fit a classifier on, and what its rows stand for."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.llm.common import remainder, text_or_empty
@@ -11,8 +11,9 @@ from claimsieve.operators.layout import reliable
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, rows_per_class: int
-) -> DataFrame:
-    """(doc_id, text, label): up to ``rows_per_class`` rows of each label outside the held-out remainder.
+) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label): up to ``rows_per_class`` rows of each label outside the held-out remainder; and how many
+    rows of each label there are, in the sample or not.
 
     Rows are chosen by a hash of doc_id, so the choice depends on no partitioning. Of repeated labels of a
     document the largest counts; null ids and labels take no part. Only the ids and labels of the sample are
@@ -26,4 +27,16 @@ def labelled_sample(
     chosen = classes[0].unionByName(classes[1]).select(F.col("doc_id").alias("s_id"), "label")
     sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id"))
     sample = sample.select("doc_id", text_or_empty(docs).alias("text"), "label")
-    return reliable(sample.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id", "text"))
+    rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(known, "doc_id")
+    whole = {r.label: r.n for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    return reliable(sample.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id", "text")), whole
+
+
+def times(whole: dict[int, int], sampled: dict[int, int]) -> dict[int, float]:
+    """How many rows a sampled row of each label stands for; 1.0 where all rows of the label are in the sample."""
+    return {v: whole[v] / n for v, n in sampled.items()}
+
+
+def row_weight(stands_for: dict[int, float]) -> Column:
+    """Weight of a row by its label: with it the sample has the shares of all rows."""
+    return F.when(F.col("label") == 1, stands_for[1]).otherwise(stands_for[0])

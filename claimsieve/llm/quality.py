@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.llm.common import remainder, text_or_empty
-from claimsieve.llm.labels import labelled_sample
+from claimsieve.llm.labels import labelled_sample, row_weight, times
 from claimsieve.operators.layout import reliable
 
 ROWS_PER_CLASS = 10_000
@@ -132,18 +132,22 @@ def clipped(name: str, low: float, high: float) -> Column:
     return (value - low) / (high - low)
 
 
-def fit_rules(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> RuleModel:
-    """Rules and weights from (text, label). With no row, or one label only, a constant model."""
+def fit_rules(
+    sample: DataFrame, whole: dict[int, int], trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY
+) -> RuleModel:
+    """Rules and weights from (text, label), which stand for ``whole`` rows of each label.
+
+    With no row, or one label only, a constant model."""
     counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    ones, rows = counts.get(1, 0), sum(counts.values())
-    if ones in (0, rows):
-        share = (ones + 1) / (rows + 2)
+    if len(counts) < 2:
+        share = (whole.get(1, 0) + 1) / (sum(whole.values()) + 2)
         return RuleModel(math.log(share / (1 - share)), (), ())
+    weight = row_weight(times(whole, counts)).alias("weight")
     data = reliable(with_statistics(sample).drop("text"))
-    flat = data.select("label", *[stat(n).alias(n) for n in STATISTICS])
+    flat = data.select("label", weight, *[stat(n).alias(n) for n in STATISTICS])
     vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(flat)
     forest = RandomForestClassifier(
-        labelCol="label", numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="0.5", subsamplingRate=0.7, minInstancesPerNode=5
+        labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="0.5", subsamplingRate=0.7, minInstancesPerNode=5
     ).fit(vectors)
     rules = sorted({simplified(r) for tree in forest.trees for r in tree_rules(tree.toDebugString, STATISTICS)})
     ends = flat.approxQuantile(list(STATISTICS), [0.02, 0.98], 0.001)
@@ -151,9 +155,9 @@ def fit_rules(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, penalty
     columns = [holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)]
     columns += [clipped(*x).alias(f"s{i}") for i, x in enumerate(ranges)]
     names = [f"r{i}" for i in range(len(rules))] + [f"s{i}" for i in range(len(ranges))]
-    table = VectorAssembler(inputCols=names, outputCol="features").transform(data.select("label", *columns))
-    lasso = LogisticRegression(labelCol="label", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60)
-    fitted = lasso.fit(reliable(table.select("label", "features")))
+    table = VectorAssembler(inputCols=names, outputCol="features").transform(data.select("label", weight, *columns))
+    lasso = LogisticRegression(labelCol="label", weightCol="weight", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60)
+    fitted = lasso.fit(reliable(table.select("label", "weight", "features")))
     weights = fitted.coefficients.toArray()
     kept = tuple((r, float(w)) for r, w in zip(rules, weights[: len(rules)], strict=True) if abs(w) > 1e-9)
     linear = tuple((*x, float(w)) for x, w in zip(ranges, weights[len(rules) :], strict=True) if abs(w) > 1e-9)
@@ -163,10 +167,10 @@ def fit_rules(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, penalty
 def fit_quality(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> RuleModel:
     """The model for ``labels.quality``, from rows outside the held-out remainder.
 
-    At most ``rows_per_class`` rows of each label are used; the classes keep that mix, so the bias is that of
-    the sample.
+    At most ``rows_per_class`` rows of each label are used, weighted by the rows they stand for, so scores keep to
+    the shares of all labelled rows.
     """
-    return fit_rules(labelled_sample(docs, labels, "quality", MODULUS, HELD_OUT, rows_per_class))
+    return fit_rules(*labelled_sample(docs, labels, "quality", MODULUS, HELD_OUT, rows_per_class))
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:

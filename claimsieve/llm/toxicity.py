@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.llm.common import remainder, text_or_empty
-from claimsieve.llm.labels import labelled_sample
+from claimsieve.llm.labels import labelled_sample, row_weight, times
 from claimsieve.operators.layout import reliable
 
 SLOTS = 1 << 18  # of the letter model: a fixed size, whatever the input
@@ -151,10 +151,12 @@ def entries_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) > k)] if word else []
 
 
-def lexicon(sample: DataFrame, cells: np.ndarray, entries: int = LEXICON, min_places: int = MIN_PLACES) -> dict[str, float]:
+def lexicon(
+    sample: DataFrame, cells: np.ndarray, stands_for: dict[int, float], entries: int = LEXICON, min_places: int = MIN_PLACES
+) -> dict[str, float]:
     """Entries that mark toxic rows, with their log odds: at most ``entries``.
 
-    An entry counts once per different word before it (in 64 cells), so a row that was copied, exactly or
+    A row of a label stands for ``stands_for`` rows, so places are carried on to those that all rows would fill. An entry counts once per different word before it (in 64 cells), so a row that was copied, exactly or
     nearly, a thousand times adds no more than one row.
     """
 
@@ -185,7 +187,8 @@ def lexicon(sample: DataFrame, cells: np.ndarray, entries: int = LEXICON, min_pl
     toxic = F.bit_count(F.coalesce(F.bit_or(F.when(F.col("label") == 1, F.col("places"))), F.lit(0)))
     clean = F.bit_count(F.coalesce(F.bit_or(F.when(F.col("label") == 0, F.col("places"))), F.lit(0)))
     counted = counted.groupBy("entry").agg(toxic.alias("t"), clean.alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5))
+    t, c = (64 * (1 - F.pow(1 - F.col(n) / 64, F.lit(stands_for[v]))) for n, v in (("t", 1), ("c", 0)))
+    odds = F.log((t + 0.5) / (c + 0.5))
     kept = counted.filter(F.col("t") >= min_places).withColumn("odds", odds).filter("odds >= 1.5")
     return {r.entry: r.odds for r in kept.orderBy(F.desc("odds"), "entry").limit(entries).collect()}
 
@@ -228,19 +231,20 @@ def marks(docs: DataFrame, cells: np.ndarray, words: dict[str, float], columns:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS):
     """(letter model, lexicon, bias and weights). The letter model is counted over all texts, the rest is fitted on at
-    most ``rows_per_class`` rows of each label outside the held-out remainder."""
+    most ``rows_per_class`` rows of each label outside the held-out remainder, weighted by the rows they stand for."""
     cells = letter_counts(docs)
-    sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows_per_class)
+    sample, whole = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows_per_class)
     counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    ones, rows = counts.get(1, 0), sum(counts.values())
-    if ones in (0, rows):
-        share = (ones + 1) / (rows + 2)
+    if len(counts) < 2:
+        share = (whole.get(1, 0) + 1) / (sum(whole.values()) + 2)
         return cells, {}, (math.log(share / (1 - share)), [0.0] * len(FEATURES))
-    words = lexicon(sample, cells)
+    stands_for = times(whole, counts)
+    words = lexicon(sample, cells, stands_for)
     table = marks(sample.repartition(8, "text"), cells, words, ["label"])
     table = reliable(table)
+    table = table.withColumn("weight", row_weight(stands_for))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table)
-    fitted = LogisticRegression(labelCol="label", regParam=0.002, standardization=False, maxIter=60).fit(vectors)
+    fitted = LogisticRegression(labelCol="label", weightCol="weight", regParam=0.002, standardization=False, maxIter=60).fit(vectors)
     return cells, words, (float(fitted.intercept), [float(w) for w in fitted.coefficients.toArray()])
 
 

@@ -288,3 +288,27 @@ def test_restoring_words(disguised):
     for _ in range(50):
         np.add.at(cells, toxicity.slots_of("the fizzwort and the other fizzwort"), 1)
     assert toxicity.Restorer(cells).restore(disguised) == "fizzwort"
+
+
+def margin(p):
+    return np.log(p / (1 - p))
+
+
+@pytest.mark.parametrize("which", ["quality", "toxic"])
+def test_scores_do_not_depend_on_the_bound_of_the_sample(spark, which):
+    """Rows of both labels that look alike score the share of the label, also where the bound makes the sample 1:1."""
+    draw = random.Random(9)
+    rows, labels = [], []
+    for i in range(1500):
+        words = ["".join(draw.choice("abdeilmnorst") for _ in range(draw.randrange(2, 8))) for _ in range(draw.randrange(20, 60))]
+        rare = draw.random() < 0.15
+        if draw.random() < (0.6 if rare else 0.1):
+            words.insert(draw.randrange(len(words)), "grumplox!!!")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not rare), int(rare)))
+    docs, labels = table(spark, rows).cache(), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").cache()
+    fit, scored = (quality.fit_quality, quality.scored) if which == "quality" else (toxicity.fit_toxicity, toxicity.scored)
+    whole, bounded = (
+        np.array([r.score for r in scored(docs, fit(docs, labels, bound)).orderBy("doc_id").collect()]) for bound in (10_000, 120)
+    )
+    assert abs(np.mean(margin(bounded) - margin(whole))) < 0.5
