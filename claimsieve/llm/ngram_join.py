@@ -122,24 +122,24 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, s, pop, bits, roots): one row per document.
+    """(doc_id, text_hash, n, s, pop, bits, roots): one row per document.
 
     ``s`` names the set, ``roots`` is its prefix, ``bits`` its bitmap with ``pop`` bits set. All are null for an
-    empty set. Of equal sets a task gives roots and bits once.
+    empty set. Of equal sets a task gives roots and bits once, on a row with a doc_id; other rows link nothing.
     """
-    kind = "doc_id bigint, n bigint, s bigint, pop bigint, bits array<bigint>, roots array<bigint>"
+    kind = "doc_id bigint, text_hash bigint, n bigint, s bigint, pop bigint, bits array<bigint>, roots array<bigint>"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for doc, text in zip(batch.column(0), batch.column(2), strict=True):
                 tokens = shingles(text.as_py(), hashes)
                 if not len(tokens):
                     rows.append((0, None, None, None, None))
                     continue
                 key = set_key(tokens)
-                if key in seen:
+                if key in seen or not doc.is_valid:
                     rows.append((len(tokens), key, None, None, None))
                     continue
                 if len(seen) > 1_000_000:
@@ -151,9 +151,11 @@ def sets_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
             n, keys, pops, bits, roots = zip(*rows, strict=True) if rows else ([],) * 5
             numbers = [pa.array(c, pa.int64()) for c in (n, keys, pops)]
             lists = [pa.array(c, pa.list_(pa.int64())) for c in (bits, roots)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, *lists], names=["doc_id", "n", "s", "pop", "bits", "roots"])
+            names = ["doc_id", "text_hash", "n", "s", "pop", "bits", "roots"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *lists], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    text = text_or_empty(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return rows.mapInArrow(describe, kind)
 
 
@@ -372,7 +374,12 @@ def bridges(trees: DataFrame, labels: DataFrame, described: DataFrame) -> DataFr
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, s) per row of ``docs``.
+    """(doc_id, n_shingles, component_id, s) per row of ``docs``, see :func:`near_copies_of_texts`."""
+    return near_copies_of_texts(docs).drop("text_hash")
+
+
+def near_copies_of_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, s) per row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. component_id is the smallest doc_id that
     links reach, the row itself included. A null text counts as empty; a text without words links with nothing
@@ -381,7 +388,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     named = docs.filter(F.col("doc_id").isNotNull())
     described = reliable(sets_of(docs, common_shingles(named)))
-    rows = described.select("doc_id", F.col("n").alias("n_shingles"), "s")
+    rows = described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s")
     known = described.filter("doc_id is not null and s is not null")
     sets = reliable(known.groupBy("s").agg(F.min("doc_id").alias("rep")))
     postings = unpack(known, ["s"], F.col("roots"), "token")
@@ -406,10 +413,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     label_of = label_of.join(smallest, F.col("c") == F.col("m_c")).select(F.col("s").alias("k_s"), "component")
     out = rows.join(label_of, F.col("s") == F.col("k_s"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "s")
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "s")
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its columns; rows without doc_id stay."""
-    gone = near_copies(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.g_id, "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of each component, with its columns; rows without doc_id stay.
+
+    Of a doc_id with different texts only the rows go whose own text links to a smaller doc_id."""
+    gone = near_copies_of_texts(docs).filter("component_id <> doc_id")
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct()
+    same = (docs.doc_id == gone.g_id) & (F.xxhash64(text_or_empty(docs)) == gone.g_hash)
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

@@ -312,3 +312,21 @@ def test_scores_do_not_depend_on_the_bound_of_the_sample(spark, which):
         np.array([r.score for r in scored(docs, fit(docs, labels, bound)).orderBy("doc_id").collect()]) for bound in (10_000, 120)
     )
     assert abs(np.mean(margin(bounded) - margin(whole))) < 0.5
+
+
+def test_ngram_join_null_id_before_a_pair(spark):
+    """A row without doc_id that comes first in a task takes nothing from the documents with its set."""
+    words = [f"v{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(words)), (None, near), (20, " ".join(words)), (21, near)]
+    docs = table(spark, rows).coalesce(1)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_copies(docs).collect()}
+    assert got == {None: None, 20: 20, 21: 20}
+
+
+def test_ngram_join_removes_rows_not_ids(spark):
+    words = [f"v{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    docs = table(spark, [(20, " ".join(words)), (21, near), (21, "a clean text under the same id"), (None, near)])
+    got = sorted((r.doc_id or 0, r.text) for r in ngram_join.one_per_component(docs).collect())
+    assert got == [(0, near), (20, " ".join(words)), (21, "a clean text under the same id")]
