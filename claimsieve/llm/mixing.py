@@ -2,28 +2,34 @@
 
 The documents of a source are cut into blocks. With weight w, block j of a source (from 1) may start at slot
 floor((j - 1) / w) and must start before slot ceil(j / w); the slot goes to the released block with the
-earliest deadline. On one processor that meets all deadlines, so after any number of slots every source is less
-than one block away from its share. Weights are whole units of a cycle of ``cycle`` slots: windows and choices
-repeat from cycle to cycle, so one cycle is scheduled and all others follow by arithmetic.
+earliest deadline. On one processor that meets all deadlines, so after any number of slots of a phase every source
+is less than one block away from its share. Windows are taken from the weights themselves, in whole numbers, over
+the whole phase; nothing is rounded, so nothing adds up.
 
-When a source is used up, the units of the others make a new, shorter cycle (a new phase). Every document gets
-exactly one place. Everything is DataFrame code.
+When a source is used up, the others go on by their weights (a new phase). Every document gets exactly one place. The
+driver goes through the slots, one per ``block_rows`` documents, and passes them on in bounded chunks; all work on
+documents is DataFrame code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from claimsieve.llm.common import text_or_empty
+from claimsieve.operators.layout import broadcast_if_bounded, reliable
 
 BLOCK_ROWS = 16
 CYCLE = 1_000
 MAX_SOURCES = 200
 BUCKET_ROWS = 10_000
 OTHER = -1
+CHUNK_SLOTS = 500_000
 
 
 def source_counts(docs: DataFrame, max_sources: int = MAX_SOURCES) -> list[tuple[str, int]]:
@@ -38,7 +44,9 @@ def tempered(counts: list[tuple[str, int]], power: float = 0.5) -> dict[str, flo
 
 
 def phases(weights: list[float], blocks: list[int], cycle: int = CYCLE) -> list[dict]:
-    """The cycles of the whole run: who takes part, with how many blocks a cycle, for how many cycles.
+    """An outline of the run in cycles of whole blocks; :func:`schedule` goes by the weights themselves.
+
+    Who takes part, with how many blocks a cycle, for how many cycles.
 
     In each phase the sources with blocks left share a cycle by weight, to the nearest block; the cycle is as long
     as ``cycle`` and the source that runs out first allow. The phase ends when some source has too few blocks for
@@ -60,63 +68,52 @@ def phases(weights: list[float], blocks: list[int], cycle: int = CYCLE) -> list[
     return out
 
 
-def release(j: Column, length: Column, units: Column) -> Column:
-    """First slot of block j (from 1): floor((j - 1) / weight)."""
-    return F.floor((j - 1) * length / units)
-
-
-def deadline(j: Column, length: Column, units: Column) -> Column:
-    """The slot before which block j starts: ceil(j / weight)."""
-    return F.ceil(j * length / units)
-
-
-def earliest_deadline_first(length: Column, share: Column) -> Column:
-    """array<int>: the place in ``share`` of the source that gets each slot of a cycle."""
-    begin = F.struct(
-        F.transform(share, lambda _: F.lit(1)).alias("upcoming"), F.array().cast("array<int>").alias("picks")
-    )
-
-    def step(state: Column, slot: Column) -> Column:
-        def window(j: Column, i: Column) -> Column:
-            units = F.get(share, i)
-            open_ = (units > 0) & (j <= units) & (release(j, length, units) <= slot)
-            return F.when(open_, F.struct(deadline(j, length, units).alias("deadline"), i.alias("place")))
-
-        best = F.array_min(F.transform(state["upcoming"], window))["place"]
-        return F.struct(
-            F.transform(state["upcoming"], lambda j, i: F.when(i == best, j + 1).otherwise(j)).alias("upcoming"),
-            F.concat(state["picks"], F.array(best)).alias("picks"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), length.cast("int") - 1), begin, step, lambda s: s["picks"])
-
-
-def plan_table(spark: SparkSession, steps: list[dict]) -> DataFrame:
-    """(place, plan): for each source its phases with the slots of its blocks in a cycle. One row a source."""
-    number = T.LongType()
-    kind = T.ArrayType(
-        T.StructType(
-            [T.StructField(n, number) for n in ("phase", "start", "length", "cycles")]
-            + [T.StructField(n, T.ArrayType(number)) for n in ("share", "before")]
-        )
-    )
-    literal = F.array(
-        *[
-            F.struct(
-                *[F.lit(s[n]).cast("long").alias(n) for n in ("phase", "start", "length", "cycles")],
-                *[F.array(*[F.lit(v).cast("long") for v in s[n]]).alias(n) for n in ("share", "before")],
-            )
-            for s in steps
-        ]
-    ) if steps else F.array().cast(kind)
-    rows = spark.range(1).select(F.explode(literal).alias("s")).select("s.*")
-    rows = rows.withColumn("picks", earliest_deadline_first(F.col("length"), F.col("share")))
-    rows = rows.select("*", F.posexplode("share").alias("place", "units")).filter("units > 0")
-    every = F.transform(F.col("picks"), lambda p, i: F.when(p == F.col("place"), i))
-    rows = rows.withColumn("slots", F.filter(every, lambda s: s.isNotNull()))
-    rows = rows.withColumn("before", F.get("before", F.col("place")))
-    fields = ["phase", "start", "length", "cycles", "units", "before", "slots"]
-    return rows.groupBy("place").agg(F.collect_list(F.struct(*fields)).alias("plan"))
+def whole_units(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    ratios = [w.as_integer_ratio() for w in weights]
+    scale = max(d for _, d in ratios)  # denominators of floats are powers of two
+    return [n * (scale // d) for n, d in ratios]
+
+
+def schedule(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(place, block, phase, release, deadline) of each slot, from slot 0; blocks count from 0."""
+    units = whole_units(weights)
+    taken, start, phase = [0] * len(units), 0, 0
+    while True:
+        total = sum(u for u, n, t in zip(units, blocks, taken, strict=True) if t < n)
+        if not total:
+            return
+        before, slot, used_up = list(taken), 0, False
+        waiting, ready = [(0, i) for i, n in enumerate(blocks) if taken[i] < n], []
+        while not used_up:
+            while waiting and waiting[0][0] <= slot:
+                release, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(taken[i] - before[i] + 1) * total // units[i]), i, release))
+            deadline, i, release = heapq.heappop(ready)
+            yield i, taken[i], phase, start + release, start + deadline
+            taken[i] += 1
+            slot += 1
+            used_up = taken[i] == blocks[i]
+            heapq.heappush(waiting, ((taken[i] - before[i]) * total // units[i], i))
+        start += slot
+        phase += 1
+
+
+def plan_table(spark: SparkSession, weights: list[float], blocks: list[int]) -> DataFrame:
+    """(p_place, p_block, phase, release, deadline, slot): one row per block."""
+    names = ["p_place", "p_block", "phase", "release", "deadline"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    slots, total, out = schedule(weights, blocks), sum(blocks), None
+    for first in range(0, max(1, total), CHUNK_SLOTS):
+        rows = [next(slots) for _ in range(min(CHUNK_SLOTS, total - first))]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        numbers = pa.array(range(first, first + len(rows)), pa.int64())
+        part = spark.createDataFrame(pa.table([*arrays, numbers], names=[*names, "slot"]))
+        if total > CHUNK_SLOTS:
+            part = reliable(part)
+        out = part if out is None else out.unionByName(part)
+    return broadcast_if_bounded(out, total)
 
 
 def mix(
@@ -132,7 +129,7 @@ def mix(
     ``weights`` names at most ``MAX_SOURCES`` sources; rows of other sources, and rows without one, share one
     more source with the mean weight. Documents of a source are shuffled by a keyed hash of doc_id and text;
     rows that repeat in full follow one another. ``position`` orders all rows; slots are numbered from 0.
-    Null ids and texts are ordinary values. An empty table gives an empty table.
+    Null ids and texts are ordinary values. An empty table gives an empty table. ``cycle`` changes nothing any more.
     """
     spark = docs.sparkSession
     names = sorted(weights)
@@ -147,7 +144,7 @@ def mix(
 
     counted = {r.place: r.n for r in docs.select(place.alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = [counted.get(i, 0) for i in range(len(wanted))]
-    steps = phases([max(w, 1e-9) for w in wanted], [-(-n // block_rows) for n in sizes], cycle)
+    plan = plan_table(spark, [max(w, 1e-9) for w in wanted], [-(-n // block_rows) for n in sizes])
 
     # number the rows of a source without one task seeing them all: uniform ranges of the draw, counted, then offset
     ranges = F.array(*[F.lit(max(1, -(-n // BUCKET_ROWS))).cast("long") for n in sizes])
@@ -168,23 +165,10 @@ def mix(
     rows = rows.withColumn("nth", F.col("nth") + F.col("offset"))
     rows = rows.withColumn("block", F.floor(F.col("nth") / block_rows))
 
-    plan = F.broadcast(plan_table(spark, steps).withColumnRenamed("place", "p_place"))  # at most MAX_SOURCES + 1 rows
-    rows = rows.join(plan, F.col("place") == F.col("p_place"))
-    here = F.filter(
-        F.col("plan"),
-        lambda p: (p["before"] <= F.col("block")) & (F.col("block") < p["before"] + p["units"] * p["cycles"]),
-    )
-    rows = rows.withColumn("step", F.get(here, F.lit(0)))
-    nth_here = F.col("block") - F.col("step.before")
-    rows = rows.withColumn("turn", F.floor(nth_here / F.col("step.units"))).withColumn("j", nth_here % F.col("step.units") + 1)
-    base = F.col("step.start") + F.col("turn") * F.col("step.length")
-    slot = base + F.get("step.slots", F.col("j").cast("int") - 1)
+    rows = rows.join(plan, (F.col("place") == F.col("p_place")) & (F.col("block") == F.col("p_block")))
     return rows.select(
-        "doc_id", "source", "place", F.col("step.phase").cast("int").alias("phase"), F.col("block").cast("long"),
-        (base + release(F.col("j"), F.col("step.length"), F.col("step.units"))).cast("long").alias("release"),
-        (base + deadline(F.col("j"), F.col("step.length"), F.col("step.units"))).cast("long").alias("deadline"),
-        slot.cast("long").alias("slot"),
-        (slot * block_rows + F.col("nth") % block_rows).cast("long").alias("position"),
+        "doc_id", "source", "place", "phase", F.col("block").cast("long"), "release", "deadline", "slot",
+        (F.col("slot") * block_rows + F.col("nth") % block_rows).cast("long").alias("position"),
         *columns,
     )
 

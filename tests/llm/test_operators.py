@@ -330,3 +330,25 @@ def test_ngram_join_removes_rows_not_ids(spark):
     docs = table(spark, [(20, " ".join(words)), (21, near), (21, "a clean text under the same id"), (None, near)])
     got = sorted((r.doc_id or 0, r.text) for r in ngram_join.one_per_component(docs).collect())
     assert got == [(0, near), (20, " ".join(words)), (21, "a clean text under the same id")]
+
+
+def test_mixing_keeps_to_the_given_weights(spark):
+    """Every prefix of every phase, over many times the old cycle; one source lies far below 1/1000."""
+    weights = {"hot": 31.7, **{f"s{i:02}": (i + 1) ** 0.5 for i in range(18)}, "tiny": 0.02}
+    blocks = {"hot": 1500, **{s: 80 + 40 * i for i, s in enumerate(sorted(weights)) if s[0] == "s"}, "tiny": 3}
+    docs = spark.createDataFrame([(s, n) for s, n in blocks.items()], "source string, n int")
+    docs = docs.selectExpr("source", "explode(sequence(1, n)) as i").selectExpr("xxhash64(source, i) as doc_id", "source")
+    out = mixing.mix(docs, weights, block_rows=1).orderBy("slot").collect()
+    assert [r.slot for r in out] == list(range(sum(blocks.values())))
+    assert all(r.release <= r.slot < r.deadline for r in out)
+    left, taken, began, phase = dict(blocks), dict.fromkeys(weights, 0), 0, 0
+    for r in out:
+        if r.phase != phase:
+            taken, began, phase = dict.fromkeys(weights, 0), r.slot, r.phase
+        if r.slot == began:
+            total = sum(w for s, w in weights.items() if left[s])
+            alive = [s for s in weights if left[s]]
+        taken[r.source] += 1
+        left[r.source] -= 1
+        assert all(abs(taken[s] - (r.slot + 1 - began) * weights[s] / total) < 1 for s in alive)
+    assert not any(left.values()) and sum(r.phase == 0 for r in out) > 1000
