@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm import exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii, quality, sentence_pieces, topk, toxicity
+from claimsieve.llm import (
+    exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii, quality, sentence_pieces, token_counts, topk, toxicity,
+)
 from claimsieve.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +87,9 @@ def op9_pii(spark, folder):
 def op10_exact_dedup(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).drop("check")
+
+
+@query
+def op12_token_counts(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, token_counts.compiled())
