@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsieve.llm import (
-    exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii, quality, sentence_pieces, token_counts, topk, toxicity,
+    exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii, quality, sentence_pieces, spelling, token_counts, topk, toxicity,
 )
 from claimsieve.session import ship
 
@@ -93,3 +93,8 @@ def op10_exact_dedup(spark, folder):
 def op12_token_counts(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, token_counts.compiled())
+
+
+@query
+def op13_spelling_variants(spark, folder):
+    return spelling.spelling_variants(read(spark, folder, "documents").select("doc_id", "text"))
