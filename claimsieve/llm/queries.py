@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsieve.llm import (
-    exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii, quality, sentence_pieces, spelling, token_counts, topk, toxicity,
+    exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii, quality, sentence_pieces, spelling, token_alignment, token_counts, topk, toxicity,
 )
 from claimsieve.session import ship
 
@@ -89,6 +89,12 @@ def op10_exact_dedup(spark, folder):
     return exact_dedup.exact_dedup(docs).drop("check")
 
 
+@query
+def op11_token_alignment(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return token_alignment.alignment_digest(docs, token_alignment.load())
+
+
 @query
 def op12_token_counts(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")

@@ -119,13 +119,38 @@ def _compiled(text: str) -> bytes:
 _TABLES: dict[str, bytes] = {}
 
 
+def classes_in(data: bytes) -> np.ndarray:
+    """The classes of all code points, from what :func:`compiled` made."""
+    size = int.from_bytes(data[:8], "big")
+    return np.frombuffer(zlib.decompress(data[8 + size :]), dtype=np.uint8)
+
+
+def piece_starts(text: str, classes: np.ndarray) -> np.ndarray:
+    """Whether a piece starts at each place of a text, its end included."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    kind = classes[codes]
+    white, n = kind == WHITE, len(codes)
+    out = np.ones(n + 1, dtype=bool)
+    if n < 2:
+        return out
+    followed = np.append(~white[2:], False)  # by a sign that is not white
+    after_white = np.where(white[1:], followed, codes[:-1] != 32)
+    out[1:n] = np.where(white[:-1], after_white, kind[1:] != kind[:-1])
+    for at in np.flatnonzero((codes == 39) & out[:n]).tolist():
+        for ending in ENDINGS:
+            if text.startswith(ending, at + 1):
+                out[at + 1 : at + 1 + len(ending)] = False
+                out[at + 1 + len(ending)] = True
+    return out
+
+
 class Transducer:
     """Splitter and transducer of one tokenizer."""
 
     def __init__(self, data: bytes) -> None:
         size = int.from_bytes(data[:8], "big")
         tables = json.loads(zlib.decompress(data[8 : 8 + size]))
-        self.classes = np.frombuffer(zlib.decompress(data[8 + size :]), dtype=np.uint8)
+        self.classes = classes_in(data)
         sign = byte_of_sign()
         spelled = {s: bytes(map(sign.__getitem__, s)) for s in tables["vocab"] if all(c in sign for c in s)}
         self.special = tables["special"]
@@ -252,22 +277,7 @@ class Transducer:
     # ---- the splitter -------------------------------------------------------------------------------
 
     def starts(self, text: str) -> np.ndarray:
-        """Whether a piece starts at each place of a text, its end included."""
-        codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-        kind = self.classes[codes]
-        white, n = kind == WHITE, len(codes)
-        out = np.ones(n + 1, dtype=bool)
-        if n < 2:
-            return out
-        followed = np.append(~white[2:], False)  # by a sign that is not white
-        after_white = np.where(white[1:], followed, codes[:-1] != 32)
-        out[1:n] = np.where(white[:-1], after_white, kind[1:] != kind[:-1])
-        for at in np.flatnonzero((codes == 39) & out[:n]).tolist():
-            for ending in ENDINGS:
-                if text.startswith(ending, at + 1):
-                    out[at + 1 : at + 1 + len(ending)] = False
-                    out[at + 1 + len(ending)] = True
-        return out
+        return piece_starts(text, self.classes)
 
     def count(self, text: str) -> int:
         """Tokens of a whole text. Strings of special tokens count as one each and split the text."""
