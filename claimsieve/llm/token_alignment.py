@@ -16,6 +16,8 @@ pairs are joined with their counts by Spark, so the result is the same for every
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import pairwise
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from sentencepiece import SentencePieceProcessor
+from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from claimsieve.llm.common import text_or_empty
@@ -36,7 +38,9 @@ from claimsieve.operators.layout import reliable, shared_folder
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GAP = "▁"
-WORDS, LONG_WORD = 250_000, 48
+UNITS = re.compile(" +[^ ]*")
+WORDS, LONG_WORD = 150_000, 48
+LETTERS = 300_000  # of the texts that are handled together
 KNOWN = 1_000_000
 HELD = 2_000_000
 BUCKETS = 16  # of pair counts for each power of two
@@ -61,7 +65,15 @@ class TokenizerPair:
         # the text of an id with the sign after it: next token of its side, end of the first side, end of the group, last of all
         most = max(len(self.a_raw), len(self.b_raw))
         self.written = [f"{i}{sign}".encode() for i in range(most) for sign in (",", "|", ";", "")]
-        self.words: dict[str, bytes] = {}
+        self.a_words = Words(lambda words: (e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)))
+        self.b_words = Words(lambda words: self.b.encode([w[1:] for w in words], num_threads=1))
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(piece_file)
+        norm, pieces = proto.normalizer_spec, [p.piece for p in proto.pieces if p.type == 1]
+        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or not norm.add_dummy_prefix:
+            raise ValueError("the second tokenizer must keep the text and add a space")
+        if not proto.trainer_spec.byte_fallback or any(GAP in s.lstrip(GAP) for s in pieces):
+            raise ValueError("the second tokenizer must have byte pieces, and none that goes on after a word's end")
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -75,29 +87,54 @@ class TokenizerPair:
         for text in texts:
             places = np.flatnonzero(piece_starts(text, self.classes)).tolist()
             split.append([text[x:y] for x, y in pairwise(places)])
-        if len(self.words) > WORDS:
-            self.words.clear()
-        known = self.words
-        missing = list({w for words in split for w in words if w not in known})
-        fresh = {w: np.array(e.ids, dtype=np.int32).tobytes() for w, e in zip(missing, self.a.encode_batch(missing, add_special_tokens=False), strict=True)}
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG_WORD)
-        if len(known) >= len(fresh) and all(len(w) <= LONG_WORD for w in fresh):
-            return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in split]
-        return [np.frombuffer(b"".join(known.get(w) or fresh[w] for w in words), dtype=np.int32) for words in split]
+        return self.a_words.ids(split)
+
+    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts by the library, which no piece lets go on from the end of a word into the gap behind it."""
+        split = [UNITS.findall(" " + text) for text in texts]
+        return self.b_words.ids(split)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both sides; none where a text is empty or a side does not spell it."""
-        a = self.encode_a([" " + t for t in texts])
-        b = [np.array(x, dtype=np.int32) for x in self.b.encode(texts, num_threads=1)]
+        """Ids of both sides; none where a text is empty or holds a literal gap sign, which the second side would spell as a
+        space. All other texts are spelled byte by byte, see ``__init__``; the lengths are checked."""
+        texts = ["" if GAP in t else t for t in texts]
+        a, b = self.encode_a([" " + t if t else "" for t in texts]), self.encode_b(texts)
         none = np.empty(0, dtype=np.int32)
         for i, text in enumerate(texts):
-            raw = b" " + text.encode("utf-8", "replace")
-            sides = ((a[i], self.a_raw), (b[i], self.b_raw))
-            if not text or any(b"".join(map(table.__getitem__, ids.tolist())) != raw for ids, table in sides):
+            size = 1 + len(text.encode("utf-8", "replace"))
+            if not text or self.a_size[a[i]].sum() != size or self.b_size[b[i]].sum() != size:
                 a[i] = b[i] = none
         return a, b
 
 
+class Words(dict):
+    """Ids of words as bytes. When there are too many, those not met since the last time are forgotten."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def ids(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The ids of texts from those of their words; unknown words are encoded together."""
+        if len(self) > WORDS:
+            self.older = dict(self)
+            self.clear()
+        older, missing, fresh = self.older, [], {}
+        for w in set().union(*split).difference(self):
+            if w in older:
+                self[w] = older[w]
+            else:
+                missing.append(w)
+        if missing:
+            fresh = dict(zip(missing, (array("i", ids).tobytes() for ids in self.encode(missing)), strict=True))
+            self.update(fresh)
+        out = [np.frombuffer(b"".join(map(self.__getitem__, words)), dtype=np.int32) for words in split]
+        for w in missing:
+            if len(w) > LONG_WORD:
+                del self[w]
+        return out
+
+
 LOADED: dict[tuple[bytes, bytes, bytes], TokenizerPair] = {}
 
 
@@ -161,7 +198,9 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, edges: np.ndarray) -> np.ndarray:
         found += [right[right >= 0], left[left >= 0]]
         hit, back = right >= 0, left >= 0
         # right of the middle a region goes on behind its cut; what lies between the middle and the cut is empty
-        low, high = np.concatenate([low[hit], right[hit], low[back]]), np.concatenate([middle[hit], high[hit], left[back]])
+        kept = np.stack([hit | back, hit], axis=1)
+        ends = np.stack([np.where(hit, middle, left), high], axis=1)
+        low, high = np.stack([low, right], axis=1)[kept], ends[kept]  # in text order, which bisect likes
     return np.sort(np.concatenate(found))
 
 
@@ -206,11 +245,19 @@ class Batch:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """(id pair, number of the document) of every link: between two neighbouring ends of either side lies one."""
-        ends = np.union1d(self.a_ends, self.b_ends)
+        ends = np.sort(np.concatenate([self.a_ends, self.b_ends]), kind="stable")  # merges the two runs
+        ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
         a, b = self.a[np.searchsorted(self.a_ends, ends)], self.b[np.searchsorted(self.b_ends, ends)]
         return a.astype(np.int64) * len(self.pair.b_raw) + b, np.searchsorted(self.ends, ends)
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, dtype=np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def lists(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, kind))
 
@@ -227,7 +274,7 @@ def alignments(docs: DataFrame, files: tuple[bytes, bytes, bytes]) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files)
-        for part in (part for whole in batches for part in slices(whole, 1)):
+        for part in (part for whole in batches for part in slices(whole, 1, LETTERS)):
             batch = Batch(*pair.encode(part.column(1).to_pylist()), pair)
             a_to, b_to, of_doc = batch.groups()
             sides = [lists(batch.a, a_to, pa.int32()), lists(batch.b, b_to, pa.int32())]
@@ -251,7 +298,7 @@ def encoded(docs: DataFrame, files: tuple[bytes, bytes, bytes]) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files)
-        for part in (part for whole in batches for part in slices(whole, 1)):
+        for part in (part for whole in batches for part in slices(whole, 1, LETTERS)):
             batch = Batch(*pair.encode(part.column(1).to_pylist()), pair)
             n_groups, texts = batch.written()
             numbers = [pa.array(x, pa.int64()) for x in (batch.n_a, batch.n_b, n_groups)]
@@ -270,7 +317,7 @@ def batch_of(part: pa.RecordBatch, a: int, b: int, pair: TokenizerPair) -> Batch
     return Batch(*sides, pair)
 
 
-def token_slices(batch: pa.RecordBatch, a: int, tokens: int = 400_000) -> Iterator[pa.RecordBatch]:
+def token_slices(batch: pa.RecordBatch, a: int, tokens: int = 150_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many tokens each."""
     start, size = 0, 0
     for i, ids in enumerate(batch.column(a)):
@@ -301,7 +348,7 @@ def pair_counts(tokens: DataFrame, files: tuple[bytes, bytes, bytes]) -> DataFra
             return both[first], np.add.reduceat(n, first) if len(first) else n
 
         for part in (part for whole in batches for part in token_slices(whole, 0)):
-            waiting.append(np.unique(batch_of(part, 0, 1, pair).links()[0], return_counts=True))
+            waiting.append(counted(batch_of(part, 0, 1, pair).links()[0]))
             if sum(len(k) for k, _ in waiting) > HELD // 2:
                 keys, times = added()
                 if len(keys) > HELD:
@@ -351,7 +398,7 @@ def alignment_digest(docs: DataFrame, files: tuple[bytes, bytes, bytes], known:
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files)
         keys, times, best = shared.value
-        for part in (part for whole in batches for part in token_slices(whole, 1)):
+        for part in (part for whole in batches for part in token_slices(whole, 1, LETTERS)):
             batch = batch_of(part, 1, 2, pair)
             links, of_doc = batch.links()
             at = np.minimum(np.searchsorted(keys, links), max(0, len(keys) - 1))
@@ -362,7 +409,7 @@ def alignment_digest(docs: DataFrame, files: tuple[bytes, bytes, bytes], known:
             np.add.at(sums[1], doc, best[at])
             np.add.at(sums[2], doc, times[at])
             pairs = len(pair.a_raw) * len(pair.b_raw)
-            missing, n = np.unique(of_doc[~hit] * pairs + links[~hit], return_counts=True)
+            missing, n = counted(of_doc[~hit] * pairs + links[~hit])
             ends = np.searchsorted(missing // pairs, np.arange(batch.n), side="right")
             fields = pa.StructArray.from_arrays([pa.array(missing % pairs, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
             left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), fields)
