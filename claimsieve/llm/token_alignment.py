@@ -67,6 +67,7 @@ class TokenizerPair:
         self.written = [f"{i}{sign}".encode() for i in range(most) for sign in (",", "|", ";", "")]
         self.a_words = Words(lambda words: (e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)))
         self.b_words = Words(lambda words: self.b.encode([w[1:] for w in words], num_threads=1))
+        self.b_words[" "] = np.array([self.b.piece_to_id(GAP)], dtype=np.int32).tobytes()  # the library has nothing for no letters
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(piece_file)
         norm, pieces = proto.normalizer_spec, [p.piece for p in proto.pieces if p.type == 1]
@@ -119,6 +120,7 @@ class Words(dict):
         if len(self) > WORDS:
             self.older = dict(self)
             self.clear()
+            self.update((w, self.older[w]) for w in (" ",) if w in self.older)
         older, missing, fresh = self.older, [], {}
         for w in set().union(*split).difference(self):
             if w in older:
