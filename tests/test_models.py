@@ -195,3 +195,19 @@ def test_whole_run_writes_everything(spark, tmp_path):
     test_rows = statements(spark).join(out.predictions.select("doc_id"), "doc_id", "left_semi")
     again = {r["doc_id"]: r["probability"] for r in reloaded.score(test_rows).collect()}
     assert again == pytest.approx({r["doc_id"]: r["probability"] for r in out.predictions.collect()})
+
+
+def test_sparse_products_equal_dense_ones(monkeypatch):
+    draw = np.random.RandomState(5)
+    dense = np.where(draw.rand(30, 50) < 0.2, draw.normal(size=(30, 50)), 0.0)
+    dense[[0, 7, 29]] = 0.0  # rows without entries
+    rows, columns = np.nonzero(dense)
+    block = svm._Block(columns, dense[rows, columns], np.cumsum((dense != 0).sum(axis=1)), 50)
+    whole = np.concatenate([dense, np.ones((30, 1))], axis=1)
+    weights, pull = draw.normal(size=(51, 4)), draw.normal(size=(30, 4))
+    for entries in (1, 40, 1 << 19):
+        monkeypatch.setattr(svm, "ENTRIES", entries)
+        assert np.allclose(block.times(weights), whole @ weights)
+        slopes = np.zeros((51, 4))
+        block.add_gradient(slopes, pull)
+        assert np.allclose(slopes, -(whole.T @ pull))
