@@ -2,13 +2,17 @@
 
 Populations are tables keyed by ``search_id`` so that any number of searches move forward together.
 Subset candidates are stored as one row per gene: ``(search_id, generation, ind, gene, bit)``; ``gene``
-is a feature name or position. Setting candidates have one row each, with ``c_norm``, ``gamma_norm`` and
+is a feature name or position. In a search whose genes are positions 0..n-1 a candidate is one row with a bit set:
+``(search_id, generation, ind, bits)``, 64 genes a number, drawn by the same keys as the gene rows. Setting candidates have one row each, with ``c_norm``, ``gamma_norm`` and
 ``kernel_norm``. ``ind`` runs from 0 to the population size less 1. No step pairs rows of a search with
 each other: partners are drawn as indices and fetched by equi-joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +33,10 @@ def _members(df: DataFrame, population: int) -> DataFrame:
 
 def init_subsets(features: DataFrame, population: int, seed: int = SEED) -> DataFrame:
     """First generation over ``features(search_id, gene)``: low, medium and high selection rates by thirds."""
-    third, two_thirds = population // 3, 2 * population // 3
     ind, search = F.col("ind"), F.col("search_id")
-
-    def rate(low: float, high: float) -> Column:
-        return uniform_between(low, high, "rate", search, ind, seed=seed)
-
     # the rate belongs to the candidate, so it is drawn once per candidate and not once per gene
-    members = _members(features.select("search_id").distinct(), population).withColumn(
-        "_rate",
-        F.when(ind < third, rate(0.1, 0.3)).when(ind < two_thirds, rate(0.3, 0.6)).otherwise(rate(0.6, 0.9)),
-    )
+    members = _members(features.select("search_id").distinct(), population)
+    members = members.withColumn("_rate", _starting_rate(population, seed))
     rates = members.groupBy("search_id").agg(
         F.array_sort(F.collect_list(F.struct("ind", "_rate"))).alias("_rates")
     )
@@ -92,6 +89,80 @@ def decode_settings(df: DataFrame, ranges=scores.SvmRanges()) -> DataFrame:
     )
 
 
+# ---- subsets as bit sets ------------------------------------------------------------------------------
+
+
+def bits_where(n_genes: int, chosen: Callable[[Column], Column]) -> Column:
+    """Packed bits of the genes 0..n_genes-1 for which a condition on the gene's number holds."""
+
+    def word(first: Column) -> Column:
+        genes = F.sequence(first, F.least(first + 63, F.lit(n_genes - 1).cast("bigint")))
+        one = F.lit(1).cast("bigint")
+        bit = lambda g: F.when(chosen(g), F.call_function("shiftleft", one, (g - first).cast("int"))).otherwise(0)
+        return F.aggregate(genes, F.lit(0).cast("bigint"), lambda acc, g: acc.bitwiseOR(bit(g)))
+
+    firsts = F.sequence(F.lit(0).cast("bigint"), F.lit(n_genes - 1).cast("bigint"), F.lit(64).cast("bigint"))
+    return F.transform(firsts, word)
+
+
+def bit_count(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda total, word: total + F.bit_count(word))
+
+
+def genes_of(bits: Sequence[int]) -> list[int]:
+    """The numbers of the genes of one candidate's bit set."""
+    words = np.array(bits, dtype=np.int64).view(np.uint8)
+    return np.flatnonzero(np.unpackbits(words, bitorder="little")).tolist()
+
+
+def _starting_rate(population: int, seed: int) -> Column:
+    """Share of genes that a first member selects: low, medium and high by thirds."""
+    third, two_thirds = population // 3, 2 * population // 3
+    ind, search = F.col("ind"), F.col("search_id")
+
+    def rate(low: float, high: float) -> Column:
+        return uniform_between(low, high, "rate", search, ind, seed=seed)
+
+    return F.when(ind < third, rate(0.1, 0.3)).when(ind < two_thirds, rate(0.3, 0.6)).otherwise(rate(0.6, 0.9))
+
+
+def init_bitsets(searches: DataFrame, n_genes: int, population: int, seed: int = SEED) -> DataFrame:
+    """:func:`init_subsets` for genes 0..n_genes-1, as bit sets."""
+    members = _members(searches.select("search_id").distinct(), population)
+    members = members.withColumn("_rate", _starting_rate(population, seed))
+    bits = bits_where(n_genes, lambda g: uniform("gene", F.col("search_id"), F.col("ind"), g, seed=seed) < F.col("_rate"))
+    return members.select("search_id", F.lit(0).alias("generation"), "ind", bits.alias("bits"))
+
+
+def cross_bitsets(pairs: DataFrame, population: DataFrame, n_genes: int, rate: float = 0.8, seed: int = SEED) -> DataFrame:
+    """:func:`cross_subsets` by masks: (search_id, generation, child, bits)."""
+    both = _parents(pairs, population, [], ["bits"])
+    keys = (F.col("search_id"), F.col("generation"), F.col("pair"))
+    mask = bits_where(n_genes, lambda g: uniform("mask", *keys, g, seed=seed) <= 0.5)
+    none = F.transform("bits_1", lambda _: F.lit(0).cast("bigint"))
+    both = both.withColumn("_mask", F.when(uniform("cross", *keys, seed=seed) <= rate, mask).otherwise(none))
+
+    def child(a: str, b: str) -> Column:
+        def word(m: Column, i: Column) -> Column:
+            return F.get(a, i).bitwiseAND(F.bitwise_not(m)).bitwiseOR(F.get(b, i).bitwiseAND(m))
+
+        return F.transform("_mask", word)
+
+    both = both.withColumns({"_first": child("bits_1", "bits_2"), "_second": child("bits_2", "bits_1")})
+    return both.select("search_id", "generation", _both_children([F.col("_first")], [F.col("_second")], ["bits"]))
+
+
+def flip_bitsets(children: DataFrame, n_genes: int, generations: int, rate: float = 0.05, seed: int = SEED) -> DataFrame:
+    """:func:`flip_bits` by a mask."""
+    keys = (F.col("search_id"), F.col("generation"), F.col("child"))
+    decayed = scores.decayed(rate, F.col("generation"), generations)
+    flips = bits_where(n_genes, lambda g: uniform("flip", *keys, g, seed=seed) < decayed)
+    return children.withColumn("bits", F.zip_with("bits", flips, lambda a, b: a.bitwiseXOR(b)))
+
+
+# ---- what a population says of itself ----------------------------------------------------------------
+
+
 def selection_rate(population: DataFrame) -> DataFrame:
     """Number and share of selected features per candidate."""
     return population.groupBy("search_id", "generation", "ind").agg(

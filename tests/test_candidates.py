@@ -103,3 +103,26 @@ def test_settings_stay_in_range(spark):
 def test_elite_filter_runs_before_the_shuffle(spark):
     fitness = spark.createDataFrame([("s", 0, 0, 1.0)], FITNESS)
     assert "WindowGroupLimit" in cand.elites(fitness)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def unpacked(df, n, member="ind"):
+    """Bit sets as a mapping like :func:`bits`."""
+    return {r[member]: {g: int(g in set(cand.genes_of(r["bits"]))) for g in range(n)} for r in df.collect()}
+
+
+def test_bitsets_equal_gene_rows(spark):
+    for n in (130,):
+        rows = population(spark, 7, n)
+        packed = cand.init_bitsets(rows.select("search_id"), n, 7)
+        assert unpacked(packed, n) == bits(rows)
+        counted = {r["ind"]: r["n_selected"] for r in cand.selection_rate(rows).collect()}
+        assert {r["ind"]: r["n"] for r in packed.select("ind", cand.bit_count("bits").alias("n")).collect()} == counted
+        fitness = spark.createDataFrame([("s", 0, i, i / 10) for i in range(7)], FITNESS)
+        pairs = cand.draw_pairs(cand.tournament(fitness), 4)
+        crossed, crossed_bits = cand.cross_subsets(pairs, rows), cand.cross_bitsets(pairs, packed, n)
+        assert unpacked(crossed_bits, n, "child") == bits(crossed, "child")
+        flipped, flipped_bits = cand.flip_bits(crossed, 4, 0.4), cand.flip_bitsets(crossed_bits, n, 4, 0.4)
+        assert unpacked(flipped_bits, n, "child") == bits(flipped, "child")
+        top = cand.elites(fitness)
+        after = cand.next_generation(top, flipped, rows, 7, ["gene", "bit"])
+        assert unpacked(cand.next_generation(top, flipped_bits, packed, 7, ["bits"]), n) == bits(after)

@@ -143,6 +143,48 @@ def test_searches_are_repeatable_and_improve(data):
     assert best == sorted(best) and len(best) == 3
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("torn", [True])
+def test_stopped_searches_go_on(data, tmp_path, monkeypatch, torn):
+    """Stopped after its first generation, with a part of the second one written."""
+    _, laid_out = data
+    training = svm.TrainingPlan(passes=2, fourier=16)
+    cases = [
+        (search.subset_search, search.SubsetSearch(population=4, generations=3, training=training)),
+        (search.setting_search, search.SettingSearch(population=4, generations=3, training=training)),
+    ]
+    write, fit = search.GenerationLog.write, svm.fit_models
+    for find, settings in cases:
+        folder = str(tmp_path / find.__name__)
+
+        def stopping(self, generation, scored):
+            if generation == 1:
+                if torn:
+                    scored.limit(1).write.parquet(f"{self.folder}/generation-1")
+                raise Killed
+            write(self, generation, scored)
+
+        monkeypatch.setattr(search.GenerationLog, "write", stopping)
+        with pytest.raises(Killed):
+            find(laid_out, settings, folder=folder)
+        monkeypatch.setattr(search.GenerationLog, "write", write)
+        trainings = []
+        monkeypatch.setattr(svm, "fit_models", lambda *a: (trainings.append(1), fit(*a))[1])
+        resumed = find(laid_out, settings, folder=folder)
+        assert len(trainings) <= 2
+        again = find(laid_out, settings, folder=folder)
+        assert len(trainings) <= 2  # a complete search trains nothing
+        monkeypatch.setattr(svm, "fit_models", fit)
+        whole = find(laid_out, settings)
+        for table, other, same in zip(resumed, again, whole, strict=True):
+            assert sorted(map(tuple, table.collect())) == sorted(map(tuple, other.collect())) == sorted(map(tuple, same.collect()))
+        with pytest.raises(ValueError):
+            find(laid_out, dataclasses.replace(settings, seed=1), folder=folder)
+
+
 def statements(spark, n=60):
     rows = [
         (i, f"claim {'taxes rise' if i % 2 else 'rivers flow'} number {'one' if i % 3 else 'two'} again", f"p{i % 4}", float(i), i % 2)
