@@ -6,7 +6,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,15 @@ def pack_rows(features: DataFrame, index: DataFrame, key: str = "doc_id", max_fe
     return packed.select(key, F.col("_e.position").alias("indices"), F.col("_e.value").alias("values"))
 
 
+def entry(position: Column, value: Column) -> Column:
+    """One entry of a sparse row."""
+    return F.struct(position.cast("int").alias("position"), value.cast("double").alias("value"))
+
+
+def no_entries() -> Column:
+    return F.array().cast("array<struct<position: int, value: double>>")
+
+
 def to_vectors(rows: DataFrame, n_features: int, out: str = "features") -> DataFrame:
     """Turn ``indices``/``values`` arrays into a sparse ML vector column, one Arrow batch at a time."""
     keep = [c for c in rows.columns if c not in ("indices", "values")]

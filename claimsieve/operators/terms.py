@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, NGram
@@ -113,19 +115,20 @@ def tfidf_rows(
     key: str = "doc_id",
     tokens: str = "tokens",
     longest: int = 3,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, indices, values): sublinear tf times idf of the known terms, scaled to length 1.
+    """(key, keep, indices, values): sublinear tf times idf of the known terms, scaled to length 1.
 
     Works inside each row: the JVM counts the grams that are in the vocabulary, and the weights of a
     batch of rows are then three vector operations. Nothing is shuffled. Rows without a known term get
     empty arrays.
     """
-    grams = with_ngrams(df.select(key, tokens), tokens, "_grams", longest)
+    grams = with_ngrams(df.select(key, *keep, tokens), tokens, "_grams", longest)
     if not words:
-        return df.select(key, F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
+        return df.select(key, *keep, F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
     counter = CountVectorizerModel.from_vocabulary(words, inputCol="_grams", outputCol="_counts")
-    counted = counter.transform(grams).select(key, "_counts")
-    key_type = counted.schema[key].dataType.simpleString()
+    counted = counter.transform(grams).select(key, *keep, "_counts")
+    kinds = ", ".join(f"`{c}` {counted.schema[c].dataType.simpleString()}" for c in (key, *keep))
 
     def weigh(batches):
         for batch in batches:
@@ -139,14 +142,14 @@ def tfidf_rows(
             at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(key),
+                    *[batch.column(c) for c in (key, *keep)],
                     pa.ListArray.from_arrays(at, pa.array(index, pa.int32())),
                     pa.ListArray.from_arrays(at, pa.array(weight / length[row])),
                 ],
-                names=[key, "indices", "values"],
+                names=[key, *keep, "indices", "values"],
             )
 
-    return counted.mapInArrow(weigh, f"{key} {key_type}, indices array<int>, values array<double>")
+    return counted.mapInArrow(weigh, f"{kinds}, indices array<int>, values array<double>")
 
 
 def tfidf(

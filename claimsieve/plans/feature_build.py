@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsieve.functions import text as words
 from claimsieve.operators import dictionary, features, metadata, terms, vectors
-from claimsieve.operators.layout import reliable, reliable_all, spread
+from claimsieve.operators.layout import BROADCAST_ROWS, reliable, reliable_all, spread
 
+# Names of the readability features.
 READABILITY = ("avg_sentence_length", "avg_word_length", "unique_word_ratio")
 
 
@@ -34,6 +35,11 @@ class FeatureSpec:
     max_terms: int = 5000
     max_categories: int = 50
 
+    def other_columns(self) -> list[str]:
+        """The columns, besides the tokens, that features are made from."""
+        text = [self.text] if self.readability == "raw" else []
+        return [*text, *([self.embedding] if self.embedding else []), *self.categorical, *self.numeric]
+
     @property
     def max_features(self) -> int:
         """Bound of the fitted tables, apart from the width of the embedding."""
@@ -44,7 +50,8 @@ def token_table(
     df: DataFrame, spec: FeatureSpec, lemmas: DataFrame | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """(key, keep, tokens) of every row, through cleaning, stop words, stems, lemmas and the length limit."""
-    rows = spread(df.select(spec.key, *keep, spec.text), spec.key)
+    keep = [c for c in dict.fromkeys(keep) if c != spec.key]
+    rows = spread(df.select(spec.key, *keep, *([] if spec.text in keep else [spec.text])), spec.key)
     shortest = 1 if spec.stem or lemmas is not None else spec.min_token_length
     tokens = words.tokens(F.col(spec.text), spec.stopwords, shortest).alias("tokens")
     out = rows.select(spec.key, *keep, tokens)
@@ -133,6 +140,85 @@ class FeatureModel:
     def pack(self, df: DataFrame, tokens: DataFrame, index: DataFrame, fitted_rows: bool = False) -> DataFrame:
         """(key, indices, values) for every row of ``df``, in position order.
 
+        Everything happens inside the row: each block's entries are written at its positions into one array. If ``tokens``
+        carries the columns of the other blocks (see :func:`token_table`), nothing is joined or shuffled; otherwise it is
+        joined to ``df`` once. Only categories beyond the dictionary need a table of their own where there are
+        more than ``BROADCAST_ROWS`` of them.
+        """
+        spec = self.spec
+        needed = spec.other_columns()
+        rows = tokens if set(needed) <= set(tokens.columns) else df.select(spec.key, *needed).join(tokens.select(spec.key, "tokens"), spec.key)
+        if "categories" in self.tables and not fitted_rows and self.tables["known_categories"].count() > BROADCAST_ROWS:
+            return self.pack_joined(df, tokens, index, fitted_rows)
+        rows = rows.select(spec.key, "tokens", self.entries(rows, index, fitted_rows).alias("_e"))
+        words_, weights = terms.vocabulary_list(self.tables["vocabulary"])
+        out = terms.tfidf_rows(rows, words_, weights, spec.key, "tokens", spec.longest_gram, ["_e"])
+        return out.select(
+            spec.key,
+            F.concat("indices", F.col("_e.position")).alias("indices"),
+            F.concat("values", F.col("_e.value")).alias("values"),
+        )
+
+    def entries(self, rows: DataFrame, index: DataFrame, fitted_rows: bool) -> Column:
+        """The non-zero entries (position, value) of all blocks but the terms, in position order, as one expression.
+
+        Fitted tables become constants of it: a row per category of the dictionary, column and vector element.
+        """
+        spec = self.spec
+        place: dict[str, dict[str, int]] = {}
+        for r in index.filter(F.col("block") != "tfidf").collect():
+            place.setdefault(r["block"], {})[r["feature"]] = r["position"]
+        cells = []
+        if "vector_stats" in self.tables:
+            fitted = sorted((r["pos"], r["mean"], r["std"]) for r in self.tables["vector_stats"].collect())
+            at = [place["embedding"][str(p)] for p, _, _ in fitted]
+            mean, std = ([r[i] for r in fitted] for i in (1, 2))
+
+            def element(x: Column, i: Column) -> Column:
+                return features.entry(F.get(F.lit(at), i), (x.cast("double") - F.get(F.lit(mean), i)) / F.get(F.lit(std), i))
+
+            cells.append(F.coalesce(F.transform(spec.embedding, element), features.no_entries()))
+        if "categories" in self.tables:
+            cells.append(F.array(*[features.entry(p, F.lit(1.0)) for p in self.category_places(place["categorical"], fitted_rows)]))
+        if "numeric_stats" in self.tables:
+            for r in self.tables["numeric_stats"].collect():
+                value = metadata.standard_score(F.col(r["column"]).cast("double"), F.lit(r["mean"]), F.lit(r["std_pop"]))
+                cells.append(F.array(features.entry(F.lit(place["numeric"][r["column"]]), value)))
+        if spec.readability != "none":
+            text = F.col(spec.text) if spec.readability == "raw" else F.array_join("tokens", " ")
+            scores = words.readability(text)
+            cells.append(F.array(*[features.entry(F.lit(place["readability"][n]), scores[n]) for n in READABILITY]))
+        if not cells:
+            return features.no_entries()
+        return F.array_sort(F.filter(F.concat(*cells), lambda e: e["position"].isNotNull() & (e["value"] != 0)))
+
+    def category_places(self, place: dict[str, int], fitted_rows: bool) -> list[Column]:
+        """Per categorical column the position of a row's category: its own, that of the infrequent ones, or null."""
+        named: dict[str, dict] = {c: {} for c in self.spec.categorical}
+        rare: dict[str, int] = {}
+        for r in self.tables["categories"].collect():
+            if r["is_infrequent"]:
+                rare[r["column"]] = place[r["out_name"]]
+            else:
+                named[r["column"]][r["category"]] = place[r["out_name"]]
+        if rare and not fitted_rows:
+            for r in self.tables["known_categories"].collect():
+                if r["column"] in rare:
+                    named[r["column"]].setdefault(r["category"], rare[r["column"]])
+        out = []
+        for c in self.spec.categorical:
+            given, otherwise = F.col(c).cast("string"), F.lit(rare.get(c) if fitted_rows else None).cast("int")
+            known = {k: p for k, p in named[c].items() if k is not None}
+            found = otherwise
+            if known:
+                table = F.map_from_arrays(F.lit(list(known)), F.lit(list(known.values())))
+                found = F.coalesce(F.try_element_at(table, given), otherwise)
+            out.append(F.when(given.isNull(), F.lit(named[c].get(None)).cast("int") if None in named[c] else otherwise).otherwise(found))
+        return out
+
+    def pack_joined(self, df: DataFrame, tokens: DataFrame, index: DataFrame, fitted_rows: bool = False) -> DataFrame:
+        """:meth:`pack` by joins, for any number of known categories.
+
         The terms come first in the feature order, so their arrays (made inside each row) and the few
         entries of the other blocks are put one after the other.
         """

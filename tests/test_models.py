@@ -216,6 +216,35 @@ def test_packed_rows_equal_the_long_features(spark):
         assert a["values"] == pytest.approx(b["values"])
 
 
+@pytest.mark.parametrize("cap", [2, 10])
+def test_packing_inside_the_row(spark, cap):
+    """New categories, missing values and vectors; nothing is shuffled if the tokens carry the columns."""
+    spec = FeatureSpec(categorical=("party", "state"), numeric=("count", "n"), max_categories=cap, embedding="vector", readability="raw", stem=False)
+    rows = [
+        (i, f"the tax plan number{i % 7} helps people {'again ' * (i % 3)}", ["a", "b", "c", "d", None][i % 5], "xy"[i % 2], [i, None][i % 9 == 0], i % 4,
+         None if i % 6 == 0 else [float(i), 0.5 * i * i, 3.0, None if i == 7 else 1.0 / (1 + i)])
+        for i in range(40)
+    ]
+    schema = "doc_id long, text string, party string, state string, count long, n int, vector array<double>"
+    new = [(100, "tax", "never seen", None, None, None, None), (101, None, "a", "x", 3, 2, [1.0, 2.0, 3.0, 4.0])]
+    df, fitted = spark.createDataFrame(rows + new, schema), spark.createDataFrame(rows, schema)
+    model = feature_build.fit(fitted, spec)
+    index = model.index()
+    tokens = feature_build.token_table(df, spec, keep=spec.other_columns())
+    packed = model.pack(df, tokens.repartition(1), index)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
+    long = features.pack_rows(model.transform(df, tokens), index)
+    want = {r["doc_id"]: dict(zip(r["indices"], r["values"], strict=True)) for r in long.collect()}
+    joined = {r["doc_id"]: r for r in model.pack_joined(df, tokens, index).collect()}
+    got = {r["doc_id"]: r for r in packed.collect()}
+    plain = {r["doc_id"]: r for r in model.pack(df, tokens.select("doc_id", "tokens"), index).collect()}
+    assert set(got) == set(joined) == set(plain) == {r["doc_id"] for r in df.collect()}
+    for key, r in got.items():
+        assert r["indices"] == sorted(r["indices"]) == joined[key]["indices"] == plain[key]["indices"]
+        assert dict(zip(r["indices"], r["values"], strict=True)) == pytest.approx(want.get(key, {}))
+
+
 def test_whole_run_writes_everything(spark, tmp_path):
     training = svm.TrainingPlan(passes=4, fourier=64)
     options = run.RunSettings(
