@@ -182,7 +182,7 @@ scaled_v AS (SELECT vec_id, pos, (x - mean) / std AS value FROM cells_v JOIN sta
 def block_ctes(tokens: str) -> str:
     """All feature blocks of the documents, numbered side by side."""
     raw = sentence_scores("coalesce(text, '')")
-    return f"""{tokens},{tfidf_ctes(500)},{category_ctes('documents')},
+    return f"""{tokens},{tfidf_ctes(5000)},{category_ctes('documents')},
 {VECTOR_CELLS.format(source="(SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)")},
 moments AS (SELECT avg(n_chars) AS mean, stddev_pop(n_chars) AS std FROM documents),
 reading AS (SELECT doc_id, {", ".join(f"{s} AS {n}" for n, s in raw.items())} FROM documents),

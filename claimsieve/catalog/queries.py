@@ -25,7 +25,7 @@ from claimsieve.sources import statements
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-VOCABULARY = 500
+VOCABULARY = 5_000
 SPEC = FeatureSpec(
     categorical=("lang", "source"),
     numeric=("n_chars",),
@@ -607,9 +607,9 @@ def decay_schedule(spark, folder):
 
 # ---- models ---------------------------------------------------------------------------------------------
 
-SMALL_TRAINING = svm.TrainingPlan(passes=4, fourier=128)
-SMALL_SUBSETS = search.SubsetSearch(population=8, generations=3, training=SMALL_TRAINING)
-SMALL_SETTINGS = search.SettingSearch(population=6, generations=2, training=SMALL_TRAINING)
+# whole populations, vocabulary and training; only the number of generations is below the library's, for time
+SUBSETS = search.SubsetSearch(generations=3)
+SETTINGS = search.SettingSearch(generations=2)
 RUN_SPEC = FeatureSpec(**{**SPEC.__dict__, "readability": "cleaned"})
 
 
@@ -630,7 +630,7 @@ def svm_linear(spark, folder):
     rows, n_features = packed_rows(spark, folder)
     train, test = held_out(rows)
     data = features.to_vectors(train, n_features).persist()
-    model = svm.linear_svc(1.0, data.count(), 20).fit(data)
+    model = svm.linear_svc(1.0, data.count()).fit(data)
     data.unpersist()
     scored = model.transform(features.to_vectors(test, n_features))
     return scored.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
@@ -639,12 +639,13 @@ def svm_linear(spark, folder):
 @query
 def svm_rbf(spark, folder):
     rows, n_features = packed_rows(spark, folder)
-    waves = svm.fourier_features(rows, n_features, gamma=0.01, width=128)
+    width = svm.TrainingPlan().fourier
+    waves = svm.fourier_features(rows, n_features, gamma=0.01, width=width)
     train, test = held_out(waves)
-    data = features.to_vectors(train, 128).persist()
-    model = svm.linear_svc(1.0, data.count(), 20).fit(data)
+    data = features.to_vectors(train, width).persist()
+    model = svm.linear_svc(1.0, data.count()).fit(data)
     data.unpersist()
-    scored = model.transform(features.to_vectors(test, 128))
+    scored = model.transform(features.to_vectors(test, width))
     return scored.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -652,7 +653,7 @@ def svm_rbf(spark, folder):
 def svm_probability(spark, folder):
     rows, n_features = packed_rows(spark, folder)
     laid_out = svm.prepare(rows, n_features)
-    models = svm.fit_models(laid_out, [svm.Candidate(0)], [0, 1, 2], SMALL_TRAINING)
+    models = svm.fit_models(laid_out, [svm.Candidate(0)], [0, 1, 2])
     margins = reliable(svm.predict_rows(laid_out.df, models))
     laid_out.release()
     scored = svm.with_probability(margins, svm.platt_scaler(margins))
@@ -665,7 +666,7 @@ def cv_predictions(spark, folder):
     rows, n_features = packed_rows(spark, folder)
     laid_out = svm.prepare(rows, n_features)
     tried = [svm.Candidate(0), svm.Candidate(1, c=0.1), svm.Candidate(2, 1.0, "rbf", 0.01)]
-    models = svm.fit_models(laid_out, tried, [0, 1, 2], SMALL_TRAINING)
+    models = svm.fit_models(laid_out, tried, [0, 1, 2])
     out = reliable(svm.predict_rows(laid_out.df, models))
     laid_out.release()
     return out.select("ind", "fold", "doc_id", "label", "prediction")
@@ -675,7 +676,7 @@ def cv_predictions(spark, folder):
 def subset_search(spark, folder):
     rows, n_features = packed_rows(spark, folder)
     laid_out = svm.prepare(rows, n_features)
-    _, log = search.subset_search(laid_out, SMALL_SUBSETS)
+    _, log = search.subset_search(laid_out, SUBSETS)
     laid_out.release()
     return cand.running_best(log)
 
@@ -684,7 +685,7 @@ def subset_search(spark, folder):
 def hp_search(spark, folder):
     rows, n_features = packed_rows(spark, folder)
     laid_out = svm.prepare(rows, n_features)
-    history, _ = search.setting_search(laid_out, SMALL_SETTINGS)
+    history, _ = search.setting_search(laid_out, SETTINGS)
     laid_out.release()
     return history
 
@@ -696,7 +697,7 @@ def whole_run(spark, folder) -> run.RunOutput:
     """One run per application and folder; three queries read its output tables."""
     this = (spark.sparkContext.applicationId, folder)
     if this not in RUNS:
-        options = run.RunSettings(RUN_SPEC, SMALL_SUBSETS, SMALL_SETTINGS, SMALL_TRAINING)
+        options = run.RunSettings(RUN_SPEC, SUBSETS, SETTINGS)
         RUNS[this] = run.run(labelled(spark, folder), options)
     return RUNS[this]
 
