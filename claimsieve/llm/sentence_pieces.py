@@ -33,7 +33,8 @@ CHUNK = 32_768
 GAP = "▁"
 START, UNKNOWN = -2, -3
 LONG_WORD = 40
-CACHE = 300_000
+CACHE = 4 << 20  # letters of words kept, and as many of those kept before
+SPINES = 8_000
 BASE = 0x100000001B3
 NONE = -np.inf
 
@@ -66,8 +67,6 @@ class PieceModel:
                 tree = self.merge_tree(s)
                 if tree is None:
                     del self.ids[s]
-                else:
-                    self.spines[self.ids[s]] = tree
         self.longest = max(map(len, self.ids))
         newline = "" if "\n" in self.ids else "\n"
         self.words = re.compile(f"{newline}|{GAP}*[^{GAP}{newline}]+|{GAP}+" if newline else f"{GAP}*[^{GAP}]+|{GAP}+")
@@ -75,6 +74,8 @@ class PieceModel:
         self.step_weights = np.zeros(1 << 21)
         self.allowed_memo: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = 0  # of the words in ``cache``
         self.table()
 
     # ---- allowed steps --------------------------------------------------------------------------
@@ -115,14 +116,23 @@ class PieceModel:
         if known is None:
             known = not any(
                 (r := self.rank(x + y)) < np.inf and r < x_until and r <= y_until and self.together(x_from, y_from, x_until, y_until)
-                for x, x_from, x_until in timed(self.spines[a][1])
-                for y, y_from, y_until in timed(self.spines[b][0])
+                for x, x_from, x_until in timed(self.spine(a)[1])
+                for y, y_from, y_until in timed(self.spine(b)[0])
             )
             if len(self.allowed_memo) > 200_000:
                 self.allowed_memo.clear()
             self.allowed_memo[key] = known
         return known
 
+    def spine(self, piece: int) -> tuple[list, list]:
+        """:meth:`merge_tree` of a piece; those asked for lately are kept."""
+        found = self.spines.get(piece)
+        if found is None:
+            if len(self.spines) >= SPINES:
+                self.spines.clear()
+            found = self.spines[piece] = self.merge_tree(self.surface[piece])
+        return found
+
     @staticmethod
     def together(x_from: float, y_from: float, x_until: float, y_until: float) -> bool:
         return max(x_from, y_from) <= min(x_until, y_until)
@@ -239,17 +249,25 @@ class PieceModel:
     def encode_normal(self, texts: list[str]) -> list[bytes]:
         """Ids of texts in normal form, each starting and ending where a word does."""
         pieces = [self.words.findall(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        missing = sorted({w for words in pieces for w in words if w not in cache}, key=len)
-        for low in range(0, len(missing), 8_192):
-            part = missing[low : low + 8_192]
-            short = [w for w in part if len(w) <= LONG_WORD]
-            cache.update(zip(short, self.encode_words(short) if short else [], strict=True))
-            for w in part[len(short) :]:
-                cache[w] = self.backtrace(w, "", "", START, START)
-        return [b"".join(map(cache.__getitem__, words)) for words in pieces]
+        if self.letters > CACHE:  # words not met since the last time are forgotten
+            self.cache, self.older, self.letters = {}, self.cache, 0
+        cache, older, long, unknown = self.cache, self.older, {}, []
+        for w in set().union(*pieces).difference(cache):
+            if len(w) > LONG_WORD:  # never kept: such a word may be a whole text
+                long[w] = self.backtrace(w, "", "", START, START)
+                continue
+            self.letters += len(w)
+            if w in older:
+                cache[w] = older[w]
+            else:
+                unknown.append(w)
+        unknown.sort(key=len)
+        for low in range(0, len(unknown), 8_192):
+            part = unknown[low : low + 8_192]
+            cache.update(zip(part, self.encode_words(part), strict=True))
+        if not long:
+            return [b"".join(map(cache.__getitem__, words)) for words in pieces]
+        return [b"".join(cache[w] if w in cache else long[w] for w in words) for words in pieces]
 
     # ---- chunks that start or end inside a word ------------------------------------------------------
 
@@ -406,7 +424,7 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in (part for whole in batches for part in slices(whole, 2)):
+        for batch in (part for whole in batches for part in slices(whole, 2, 300_000)):
             ids = pieces.encode_normal([pieces.normal(t) for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(ids)], names=["doc_id", "check", "token_ids"])
 
