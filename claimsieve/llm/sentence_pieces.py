@@ -33,7 +33,7 @@ CHUNK = 32_768
 GAP = "▁"
 START, UNKNOWN = -2, -3
 LONG_WORD = 40
-CACHE = 4 << 20  # letters of words kept, and as many of those kept before
+CACHE = 3 << 19  # letters of words kept, and as many of those kept before
 SPINES = 8_000
 BASE = 0x100000001B3
 NONE = -np.inf
