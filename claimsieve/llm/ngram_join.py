@@ -8,11 +8,16 @@ Signature trees in three steps.
 2. Stars. Each set is compared with the one member of its trees that stands for most of them, in a few rounds
    with another member each. That joins the bulk of a group of near copies without all its pairs.
 3. Dual traversal. A tree whose members are all joined is done. In the others the sets of one size band and
-   hash range form a leaf and leaves form higher nodes; a node holds the OR of its sets' bitmaps, the range of
+   hash range form a leaf and the leaves of a band form higher nodes; only neighbouring bands can meet. A node holds the OR of its sets' bitmaps, the range of
    their sizes and of their components. From the roots down, pairs of nodes are dropped when the most they can
    share is below what their sizes need, or when both hold one and the same component. Pairs of sets that
    remain are compared shingle by shingle, first a few for every two components, then the rest.
 
+Before shingles are compared, sets are told apart by their parities: one bit for each of about as many cells as
+the set has shingles, set where an odd number of shingles fall. Each cell in which two sets differ holds a
+shingle that only one of them has, so the number of such cells bounds what they share from above, for
+long texts too, whose bitmaps are full. Only pairs near the limit or beyond it go to the comparison.
+
 Equal sets are one set from the start. Only components are asked for, so pairs inside a component need no
 comparison; every link between two components is found.
 """
@@ -37,6 +42,7 @@ CELLS = 1 << 20  # of the table of common shingles
 LOCAL = 3  # sets of one task that have a shingle before it counts as common
 WORDS = 16  # longs of a bitmap: 1,024 bits
 FAN_OUT = 16
+BAND = 1.34  # ratio of the sizes in a band; linked sizes differ by 100 / PERCENT at most, so by one band
 STAR_ROUNDS = 3
 LEAF = 64
 
@@ -121,13 +127,28 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit for each cell of the hash range, set where an odd number of the set's shingles fall: 2^k cells, one for
+    every shingle at least. Folding its halves together gives the parity over half as many cells."""
+    cells = 1 << max(10, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_cells(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many cells two parities (as bytes) differ, over the cells of the smaller one."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(p.reshape(-1, size), axis=0) for p in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sets_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, n, s, pop, bits, roots): one row per document.
+    """(doc_id, text_hash, n, s, pop, bits, roots, parity): one row per document.
 
     ``s`` names the set, ``roots`` is its prefix, ``bits`` its bitmap with ``pop`` bits set. All are null for an
-    empty set. Of equal sets a task gives roots and bits once, on a row with a doc_id; other rows link nothing.
+    empty set. Of equal sets a task gives roots, bits and parity once, on a row with a doc_id; other rows link nothing.
     """
-    kind = "doc_id bigint, text_hash bigint, n bigint, s bigint, pop bigint, bits array<bigint>, roots array<bigint>"
+    kind = "doc_id bigint, text_hash bigint, n bigint, s bigint, pop bigint, bits array<bigint>, roots array<bigint>, parity binary"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -136,23 +157,24 @@ def sets_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
             for doc, text in zip(batch.column(0), batch.column(2), strict=True):
                 tokens = shingles(text.as_py(), hashes)
                 if not len(tokens):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, None))
                     continue
                 key = set_key(tokens)
                 if key in seen or not doc.is_valid:
-                    rows.append((len(tokens), key, None, None, None))
+                    rows.append((len(tokens), key, None, None, None, None))
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(key)
                 bits = bitmap(tokens)
                 pop = int(np.bitwise_count(bits.view(np.uint64)).sum())
-                rows.append((len(tokens), key, pop, bits, prefix(tokens, common).view(np.int64)))
-            n, keys, pops, bits, roots = zip(*rows, strict=True) if rows else ([],) * 5
+                rows.append((len(tokens), key, pop, bits, prefix(tokens, common).view(np.int64), parity(tokens)))
+            n, keys, pops, bits, roots, parities = zip(*rows, strict=True) if rows else ([],) * 6
             numbers = [pa.array(c, pa.int64()) for c in (n, keys, pops)]
             lists = [pa.array(c, pa.list_(pa.int64())) for c in (bits, roots)]
-            names = ["doc_id", "text_hash", "n", "s", "pop", "bits", "roots"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *lists], names=names)
+            names = ["doc_id", "text_hash", "n", "s", "pop", "bits", "roots", "parity"]
+            odd = pa.array(parities, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *lists, odd], names=names)
 
     text = text_or_empty(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -250,8 +272,9 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shared_bits(a: str, b: str) -> Column:
-    both = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)))
-    return F.aggregate(both, F.lit(0), lambda s, x: s + x)
+    """Bits that two bitmaps share, written out word by word so that it is compiled."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.get(b, F.lit(i)))) for i in range(1, WORDS)),
+               F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.get(b, F.lit(0)))))
 
 
 def needed(n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
@@ -263,24 +286,35 @@ def possible(left: str, right: str) -> Column:
     """Whether some set of one node may link with some set of another, by sizes, bitmaps and components."""
     a, b = (lambda n, p=left: F.col(f"{p}.{n}")), (lambda n, p=right: F.col(f"{p}.{n}"))
     shared = shared_bits(f"{left}.bits", f"{right}.bits")
-    most = F.least(
-        a("high") - a("pop") + shared, b("high") - b("pop") + shared, a("high"), b("high")
-    )
+    need = needed(a("low"), b("low"))
     sizes = (100 * a("high") >= PERCENT * b("low")) & (100 * b("high") >= PERCENT * a("low"))
+    sizes = sizes & (F.least(a("high"), b("high")) >= need)
     same = (a("c_low") == a("c_high")) & (b("c_low") == b("c_high")) & (a("c_low") == b("c_low"))
-    return sizes & (most >= needed(a("low"), b("low"))) & ~same
+    return sizes & ~same & (F.least(a("high") - a("pop"), b("high") - b("pop")) + shared >= need)
 
 
 def worth_comparing(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps leave a link possible."""
+    """The pairs (a, b) whose sizes and parities leave a link possible. Parities hold one bit or two a shingle, so
+    they are a thirtieth of the sets."""
     ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    signs = described.filter("bits is not null").select("s", "n", "bits", "pop").join(ends, "s", "left_semi").groupBy("s")
-    signs = signs.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pop").alias("pop"))
-    node = F.struct("bits", "pop", F.col("n").alias("low"), F.col("n").alias("high"), F.col("s").alias("c_low"), F.col("s").alias("c_high"))
-    signs = reliable(signs.select("s", node.alias("node")))
-    both = pairs.join(signs.select(F.col("s").alias("a"), F.col("node").alias("x")), "a")
-    both = both.join(signs.select(F.col("s").alias("b"), F.col("node").alias("y")), "b")
-    return reliable(both.filter(possible("x", "y")).select("a", "b"))
+    signs = described.filter("parity is not null").select("s", "n", "parity").join(ends, "s", "left_semi").groupBy("s")
+    signs = reliable(signs.agg(F.first("n").alias("n"), F.first("parity").alias("parity")))
+    near = pairs.join(signs.select(F.col("s").alias("a"), F.col("n").alias("n_a")), "a")
+    near = near.join(signs.select(F.col("s").alias("b"), F.col("n").alias("n_b")), "b")
+    near = near.filter(F.least("n_a", "n_b") >= needed(F.col("n_a"), F.col("n_b")))
+    both = near.join(signs.select(F.col("s").alias("a"), F.col("parity").alias("p_a")), "a")
+    both = both.join(signs.select(F.col("s").alias("b"), F.col("parity").alias("p_b")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            cells = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("p_a"), batch.column("p_b"), strict=True)):
+                cells[i] = differing_cells(*(np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y)))
+            rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
+            yield rows.filter(pa.array(linked(n_a, n_b, (n_a + n_b - cells) // 2), pa.bool_()))
+
+    return reliable(both.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(compare, "a bigint, b bigint"))
 
 
 def star_pairs(trees: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
@@ -325,22 +359,25 @@ def nodes_above(nodes: DataFrame, keys: list[str]) -> DataFrame:
 def bridges(trees: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
     """(a, b): pairs of sets of different components that the traversal of the trees can't rule out."""
     rows = with_component(trees, labels)
-    open_ = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
-    open_ = reliable(open_.filter("lo <> hi").select("token", "n"))
+    open_ = rows.groupBy("token", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
+    tree = Window.partitionBy("token")  # as many rows as a tree has size bands
+    open_ = open_.withColumns({"lo": F.min("lo").over(tree), "hi": F.max("hi").over(tree)})
+    open_ = reliable(open_.filter("lo <> hi").select("token", "band", "n"))
     if not open_.take(1):
         return trees.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0)
     largest = open_.agg(F.max("n")).first()[0]
     levels = 0
     while LEAF * FAN_OUT**levels < largest:
         levels += 1
-    rows = rows.join(open_.withColumnsRenamed({"token": "o_token", "n": "o_n"}), F.col("token") == F.col("o_token"))
+    named = open_.withColumnsRenamed({"token": "o_token", "band": "o_band", "n": "o_n"})
+    rows = rows.join(named, (F.col("token") == F.col("o_token")) & (F.col("band") == F.col("o_band")))
     needed_sets = rows.select("s").distinct()
     signs = described.filter("bits is not null").select("s", "n", "bits", "pop").join(needed_sets, "s", "left_semi")
     signs = reliable(signs.groupBy("s").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pop").alias("pop")))
-    rows = rows.select("token", "s", "c", "o_n").join(signs, "s")
+    rows = rows.select("token", "s", "c", "band", "o_n").join(signs, "s")
     leaves = F.greatest(F.lit(1), F.ceil(F.col("o_n") / LEAF))
     spread = F.pmod(F.xxhash64("s"), leaves)
-    leaf = F.when(F.col("o_n") <= LEAF, F.lit(0)).otherwise(spread).cast("long")
+    leaf = F.col("band") * FAN_OUT**levels + spread
     rows = rows.withColumn("leaf", leaf)
     rows = rows.withColumns({"low": F.col("n"), "high": F.col("n"), "slack_pop": F.col("pop"), "c_low": F.col("c"), "c_high": F.col("c")})
     members = reliable(rows.select("token", "leaf", "s", "n", "bits", "pop", "c", "low", "high", "slack_pop", "c_low", "c_high"))
@@ -356,8 +393,8 @@ def bridges(trees: DataFrame, labels: DataFrame, described: DataFrame) -> DataFr
     for level in range(levels, -1, -1):
         nodes = level_nodes(level)
         left, right = packed(nodes, "x"), packed(nodes, "y")
-        if pairs is None:  # the roots: one node a tree
-            both = left.join(right, (F.col("x_token") == F.col("y_token")) & (F.col("x_node") <= F.col("y_node")))
+        if pairs is None:  # the top: one node for each size band of a tree
+            both = left.join(right, (F.col("x_token") == F.col("y_token")) & F.col("y_node").between(F.col("x_node"), F.col("x_node") + 1))
         else:  # the children of pairs that passed
             up_x, up_y = F.floor(F.col("x_node") / FAN_OUT), F.floor(F.col("y_node") / FAN_OUT)
             both = pairs.join(left.withColumn("ux", up_x), (F.col("p_token") == F.col("x_token")) & (F.col("p_x") == F.col("ux")))
@@ -391,10 +428,11 @@ def near_copies_of_texts(docs: DataFrame) -> DataFrame:
     rows = described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s")
     known = described.filter("doc_id is not null and s is not null")
     sets = reliable(known.groupBy("s").agg(F.min("doc_id").alias("rep")))
-    postings = unpack(known, ["s"], F.col("roots"), "token")
+    banded = known.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long"))
+    postings = unpack(banded, ["s", "band"], F.col("roots"), "token")
     roots = postings.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     roots = roots.filter("lo <> hi").select(F.col("token").alias("r_token"))
-    trees = reliable(postings.join(roots, F.col("token") == F.col("r_token")).select("token", "s"))
+    trees = reliable(postings.join(roots, F.col("token") == F.col("r_token")).select("token", "s", "band"))
     labels = components(trees.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
     for number in range(STAR_ROUNDS):
         stars = worth_comparing(star_pairs(trees, labels, number), known)
@@ -402,8 +440,8 @@ def near_copies_of_texts(docs: DataFrame) -> DataFrame:
         if not found.take(1):
             break
         labels = merged(labels, found)
-    crossing = reliable(bridges(trees, labels, known))
-    for at_once in (1, 16, 256, None):
+    crossing = worth_comparing(reliable(bridges(trees, labels, known)), known)
+    for at_once in (2, 64, None):
         crossing, chosen = next_pairs(crossing, labels, at_once)
         if not chosen.take(1):
             break

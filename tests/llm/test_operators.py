@@ -117,6 +117,18 @@ def test_ngram_join(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_parities_never_rule_out_a_link():
+    draw = np.random.default_rng(4)
+    for size in (1, 3, 40, 1_500, 9_000):
+        for change in (0, 1, size // 8, size // 4, size):
+            x = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[change:], draw.integers(0, 1 << 63, draw.integers(0, change + 1), dtype=np.uint64)]))
+            a, b = (np.frombuffer(ngram_join.parity(t), dtype=np.uint8) for t in (x, y))
+            cells = ngram_join.differing_cells(a, b)
+            assert cells <= len(np.setxor1d(x, y))
+            assert cells == ngram_join.differing_cells(b, a)
+
+
 def test_ngram_join_odd_rows(spark):
     docs, none = docs_and_empty(spark)
     assert ngram_join.near_copies(none).count() == 0
