@@ -7,6 +7,7 @@ result is written as Parquet to the shared folder and read again, so a lost exec
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimsieve.llm import exact_dedup, mixing, ngram_join, quality, sentence_pieces
 from claimsieve.operators.layout import reliable
@@ -39,9 +40,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with token_ids, checked by decoding."""
+    """(doc_id, position, token_ids, n_tokens): every document with its ids and its place in the mixture.
+
+    Files do not keep an order, so the place is a column. It is a function of the rows alone, and the one by which
+    the stage before laid them out; rows that repeat in full have a place each.
+    """
     ship(spark)
-    return sentence_pieces.with_digest(docs)
+    weights = mixing.tempered(mixing.source_counts(docs))
+    placed = reliable(mixing.mix(docs, weights, columns=("text",)).select("position", "doc_id", "text"))
+    tokens = sentence_pieces.with_digest(placed.select(F.col("position").alias("doc_id"), "text"))
+    tokens = tokens.withColumnRenamed("doc_id", "place")
+    joined = tokens.join(placed.select("position", "doc_id"), F.col("place") == F.col("position"))
+    return joined.select("doc_id", "position", "token_ids", "n_tokens")
 
 
 STAGES = [
