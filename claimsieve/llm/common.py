@@ -50,3 +50,13 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
     for a, b in pairs:
         condition = condition & left[a].eqNullSafe(right[b])
     return condition
+
+
+def packed(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """The caller's columns as one struct ``row``: beside it a join may add any name, none clashes."""
+    return F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns if columns is None or c in columns]).alias("row")
+
+
+def unpacked(columns: list[str], instead: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of ``row`` again, some by others."""
+    return [(instead or {}).get(c, F.col("row").getField(c)).alias(c) for c in columns]
