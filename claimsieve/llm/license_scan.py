@@ -2,21 +2,25 @@
 
 Every word 2-gram of every text is joined to the 2-grams of the templates. A hit votes for the diagonal
 ``place in the text - place in the template`` of its template. A diagonal that gets all votes is the template
-word by word; votes on neighbouring diagonals are one notice with words put in or left out. The 2-grams are
-joined by hash and by their words, so a span that has the votes has the words.
+word by word; votes on neighbouring diagonals are one notice with words put in or left out. Such a band is at
+most ``MAX_DRIFT`` diagonals wide, its votes are the different template places it covers, and the span is verified:
+the places must stand in the text in the order of the template. The 2-grams are joined by hash and by their words, so
+the places of a verified span have the words.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimsieve.llm.common import FACTORS, UPPER, WordHashes, mixed, null_safe, text_or_empty
+from claimsieve.llm.common import FACTORS, UPPER, WordHashes, mixed, null_safe, packed, text_or_empty, unpacked
 
 GRAM = 2
 ROWS = 200_000  # 2-grams of one Arrow batch, more only for a text that has more
@@ -134,11 +138,35 @@ def grams(docs: DataFrame) -> DataFrame:
     return named.mapInArrow(cut, f"doc_id {doc_id}, check bigint, i bigint, h bigint, {own}")
 
 
+def rising(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of (template place, text place) that rises in both; of equally long ones one that ends first."""
+    last, chain, before = [], [], {}
+    for at, i in sorted(hits, key=lambda h: (h[0], -h[1])):
+        n = bisect_left(last, i)
+        before[at, i] = chain[n - 1] if n else None
+        last[n:], chain[n:] = [i, *last[n + 1 :]], [(at, i), *chain[n + 1 :]]
+    out, step = [], chain[-1] if chain else None
+    while step:
+        out.append(step)
+        step = before[step]
+    return out[::-1]
+
+
+def verified(hits: pd.Series) -> pd.DataFrame:
+    """(votes, start, first, last) of each band: places that rise, where the template starts, first and last word."""
+    rows = []
+    for band in hits:
+        run = rising([(h["at"], h["i"]) for h in band])
+        rows.append((len(run), run[0][1] - run[0][0], run[0][1], run[-1][1] + GRAM - 1))
+    return pd.DataFrame(rows, columns=["votes", "start", "first", "last"])
+
+
 def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
-    """(s_id, s_check, label, is_base, first, last, places, cover): verified spans per text and template,
-    and the best cover of a template that found no span.
+    """(s_id, s_check, label, is_base, first, last, places, cover): verified spans per text and template, and the best
+    cover of a template: that of its best span, or without one that of its best single diagonal.
 
-    ``first`` and ``last`` are the smallest and largest word at which the template starts.
+    ``first`` and ``last`` are the smallest and largest word at which the template starts. Spans of one template
+    that share words are one place.
     """
     spark = docs.sparkSession
     base, notices = BASE if base is None else base, NOTICES if notices is None else notices
@@ -149,22 +177,24 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
     hits = grams(docs).join(templates, same)
     # one row a diagonal: votes are added map-side. Rows that repeat in full vote once for each place.
     key = ["doc_id", "check", "template", "label", "is_base", "n_grams"]
-    votes = hits.groupBy(*key, (F.col("i") - F.col("at")).alias("diagonal")).agg(
-        F.size(F.collect_set("at")).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")
-    )
-    # neighbouring diagonals of inexact templates make one band; a band is a span if its votes cover the template
-    order = Window.partitionBy(*key).orderBy("diagonal")
+    votes = hits.groupBy(*key, (F.col("i") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     inexact = ~F.col("is_base") & (F.col("n_grams") >= EXACT_BELOW)
-    gap = F.col("diagonal") - F.lag("diagonal").over(order)
-    votes = votes.withColumn("fresh", (~inexact | gap.isNull() | (gap > MAX_DRIFT)).cast("int"))
-    votes = votes.withColumn("band", F.sum("fresh").over(order))
-    bands = votes.groupBy(*key, "band").agg(
-        F.min("diagonal").alias("start"), F.least(F.sum("votes"), F.first("n_grams")).alias("votes")
-    )
-    cover = F.col("votes") / F.col("n_grams")
-    bands = bands.withColumn("cover", cover)
-    found = F.col("cover") >= F.when(inexact, MIN_COVER).otherwise(1.0)
-    return bands.groupBy(
+    own = F.size("ats") / F.col("n_grams")
+    # a band starts at each diagonal of an inexact template and ends MAX_DRIFT diagonals further
+    order = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, MAX_DRIFT)
+    votes = votes.withColumn("whole", F.sum(F.size("ats")).over(order) >= MIN_COVER * F.col("n_grams"))
+    places = F.transform("ats", lambda at: F.struct(at.cast("long").alias("at"), (F.col("diagonal") + at).alias("i")))
+    bands = votes.withColumn("band", F.when(inexact, F.flatten(F.collect_list(places).over(order))))
+    covered = F.size(F.array_distinct(F.col("band.at"))) >= MIN_COVER * F.col("n_grams")
+    check = F.pandas_udf(verified, "votes long, start long, first long, last long")
+    spans = bands.filter(inexact & F.col("whole") & covered).select(*key, check("band").alias("span")).select(*key, "span.*")
+    spans = spans.filter(F.col("votes") >= MIN_COVER * F.col("n_grams"))
+    earlier = Window.partitionBy(*key).orderBy("first", "last", "start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("fresh", F.coalesce(F.col("first") > F.max("last").over(earlier), F.lit(True)))
+    spans = spans.select(*key, F.col("start"), (F.col("votes") / F.col("n_grams")).alias("cover"), "fresh")
+    exact = votes.select(*key, F.col("diagonal").alias("start"), own.alias("cover"), (~inexact & (own >= 1.0)).alias("fresh"))
+    found = F.col("fresh")
+    return exact.unionByName(spans).groupBy(
         F.col("doc_id").alias("s_id"), F.col("check").alias("s_check"), "label", "is_base"
     ).agg(
         F.min(F.when(found, F.col("start"))).alias("first"),
@@ -179,9 +209,9 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, notices: d
 
     n_base counts all places of base phrases, first_word and last_word are their smallest and largest start (null
     without one). The label strings are distinct, sorted and joined by commas, empty without a label. ``score``
-    is the largest share of a template's 2-grams on one band of diagonals, 0 without any hit. Null and empty
+    is the largest share of a template's 2-grams in a verified span or on one diagonal, 0 without any hit. Null and empty
     texts have no words. Rows that share doc_id and text share their result. Columns of ``docs`` that carry
-    the names of the added columns are replaced.
+    the names of the added columns are replaced, all others stay, whatever their names.
     """
     found = scan(docs, base, notices)
     some = F.col("places") > 0
@@ -197,11 +227,12 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, notices: d
     count = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     own = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     rest = [c for c in docs.columns if c not in own]
-    rows = docs.select(*rest, count.cast("long").alias("n_words"), F.xxhash64(text).alias("check_of_row"))
-    rows = rows.join(per_text, null_safe(rows, per_text, [("doc_id", "s_id"), ("check_of_row", "s_check")]), "left")
+    keys = [docs["doc_id"].alias("own_id"), F.xxhash64(text).alias("own_check")]
+    rows = docs.select(packed(docs, rest), count.cast("long").alias("words_of_row"), *keys)
+    rows = rows.join(per_text, null_safe(rows, per_text, [("own_id", "s_id"), ("own_check", "s_check")]), "left")
     return rows.select(
-        *rest,
-        "n_words",
+        *unpacked(rest),
+        F.col("words_of_row").alias("n_words"),
         F.coalesce("b_places", F.lit(0)).cast("long").alias("n_base"),
         F.col("b_first").cast("long").alias("first_word"),
         F.col("b_last").cast("long").alias("last_word"),
