@@ -6,8 +6,8 @@ earliest deadline. On one processor that meets all deadlines, so after any numbe
 is less than one block away from its share. Windows are taken from the weights themselves, in whole numbers, over
 the whole phase; nothing is rounded, so nothing adds up.
 
-When a source is used up, the others go on by their weights (a new phase). Every document gets exactly one place. The
-driver goes through the slots, one per ``block_rows`` documents, and passes them on in bounded chunks; all work on
+When a source is used up, the others go on by their weights (a new phase). Every document gets exactly one place,
+every named source has its own weight, however many there are. The driver holds one line per source and goes through the slots, one per ``block_rows`` documents, and passes them on in bounded chunks; all work on
 documents is DataFrame code.
 """
 
@@ -21,21 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimsieve.llm.common import text_or_empty
+from claimsieve.llm.common import packed, text_or_empty, unpacked
 from claimsieve.operators.layout import broadcast_if_bounded, reliable
 
 BLOCK_ROWS = 16
 CYCLE = 1_000
-MAX_SOURCES = 200
 BUCKET_ROWS = 10_000
-OTHER = -1
 CHUNK_SLOTS = 500_000
 
 
-def source_counts(docs: DataFrame, max_sources: int = MAX_SOURCES) -> list[tuple[str, int]]:
-    """The largest named sources and their rows: at most ``max_sources`` lines reach the driver."""
-    counts = docs.filter(F.col("source").isNotNull()).groupBy("source").count()
-    return [(r.source, r["count"]) for r in counts.orderBy(F.desc("count"), "source").limit(max_sources).collect()]
+def source_counts(docs: DataFrame) -> list[tuple[str, int]]:
+    """Every named source and its rows, the largest first: one line per source reaches the driver."""
+    counts = docs.filter(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(((r.source, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0]))
 
 
 def tempered(counts: list[tuple[str, int]], power: float = 0.5) -> dict[str, float]:
@@ -79,12 +77,11 @@ def schedule(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int
     """(place, block, phase, release, deadline) of each slot, from slot 0; blocks count from 0."""
     units = whole_units(weights)
     taken, start, phase = [0] * len(units), 0, 0
-    while True:
-        total = sum(u for u, n, t in zip(units, blocks, taken, strict=True) if t < n)
-        if not total:
-            return
+    alive = [i for i, n in enumerate(blocks) if n]
+    total = sum(units[i] for i in alive)
+    while alive:
         before, slot, used_up = list(taken), 0, False
-        waiting, ready = [(0, i) for i, n in enumerate(blocks) if taken[i] < n], []
+        waiting, ready = [(0, i) for i in alive], []
         while not used_up:
             while waiting and waiting[0][0] <= slot:
                 release, i = heapq.heappop(waiting)
@@ -95,6 +92,8 @@ def schedule(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int
             slot += 1
             used_up = taken[i] == blocks[i]
             heapq.heappush(waiting, ((taken[i] - before[i]) * total // units[i], i))
+        alive.remove(i)
+        total -= units[i]
         start += slot
         phase += 1
 
@@ -126,33 +125,34 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, place, phase, block, release, deadline, slot, position) and ``columns``, per row of ``docs``.
 
-    ``weights`` names at most ``MAX_SOURCES`` sources; rows of other sources, and rows without one, share one
-    more source with the mean weight. Documents of a source are shuffled by a keyed hash of doc_id and text;
+    ``weights`` names any number of sources; rows of sources it does not name, and rows without one, are one more
+    source with the mean weight. Documents of a source are shuffled by a keyed hash of doc_id and text;
     rows that repeat in full follow one another. ``position`` orders all rows; slots are numbered from 0.
     Null ids and texts are ordinary values. An empty table gives an empty table. ``cycle`` changes nothing any more.
     """
     spark = docs.sparkSession
     names = sorted(weights)
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"at most {MAX_SOURCES} weighted sources")
     wanted = [*[float(weights[n]) for n in names]]
     wanted.append(sum(wanted) / len(wanted) if wanted else 1.0)
-    place_of = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col("source")), F.lit(0)) if names else F.lit(0)
-    place = F.when(place_of > 0, place_of.cast("int") - 1).otherwise(len(names))
+    numbered = [(n, i) for i, n in enumerate(names)]
+    known = broadcast_if_bounded(spark.createDataFrame(numbered, "w_source string, w_place int"), len(names))
+    place = F.coalesce("w_place", F.lit(len(names)))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), text_or_empty(docs) if "text" in docs.columns else F.lit(""))
-    rows = docs.select("doc_id", "source", *columns, place.alias("place"), draw.alias("draw"))
+    keyed = docs.select("doc_id", "source", *columns, draw.alias("draw"))
+    keyed = keyed.join(known, F.col("source") == F.col("w_source"), "left").withColumn("place", place).drop("w_source", "w_place")
 
-    counted = {r.place: r.n for r in docs.select(place.alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {r.place: r.n for r in keyed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = [counted.get(i, 0) for i in range(len(wanted))]
     plan = plan_table(spark, [max(w, 1e-9) for w in wanted], [-(-n // block_rows) for n in sizes])
 
     # number the rows of a source without one task seeing them all: uniform ranges of the draw, counted, then offset
-    ranges = F.array(*[F.lit(max(1, -(-n // BUCKET_ROWS))).cast("long") for n in sizes])
+    several = [(i, -(-n // BUCKET_ROWS)) for i, n in enumerate(sizes) if n > BUCKET_ROWS]
+    ranges = broadcast_if_bounded(spark.createDataFrame(several, "r_place int, ranges long"), len(several))
     share = (F.shiftright(F.col("draw"), 1).cast("double") / 2.0**63) + 0.5
-    bucket = F.least(F.floor(share * F.get(ranges, F.col("place"))), F.get(ranges, F.col("place")) - 1)
-    rows = rows.withColumn("bucket", bucket)
-    per_bucket = docs.select("doc_id", "source", *(["text"] if "text" in docs.columns else []))
-    per_bucket = per_bucket.select(place.alias("place"), draw.alias("draw")).withColumn("bucket", bucket)
+    many = F.coalesce("ranges", F.lit(1).cast("long"))
+    bucket = F.least(F.floor(share * many), many - 1)
+    rows = keyed.join(ranges, F.col("place") == F.col("r_place"), "left").withColumn("bucket", bucket).drop("ranges", "r_place")
+    per_bucket = rows.select("place", "bucket")
     per_bucket = per_bucket.groupBy("place", "bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -175,9 +175,8 @@ def mix(
 
 def mixed(docs: DataFrame, weights: dict[str, float], partitions: int | None = None) -> DataFrame:
     """The documents in the order of the mixture: ranges of the position, each sorted."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    hidden = docs.select("doc_id", "source", *rest, *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(rest)))
-    placed = mix(hidden, weights, columns=tuple(f"kept_{i}" for i in range(len(rest))))
+    text = ["text"] if "text" in docs.columns else []
+    placed = mix(docs.select("doc_id", "source", *text, packed(docs)), weights, columns=("row",))
     ordered = placed.repartitionByRange(*([partitions] if partitions else []), "position")
     ordered = ordered.sortWithinPartitions("position")
-    return ordered.select(*[F.col(f"kept_{rest.index(c)}").alias(c) if c in rest else F.col(c) for c in docs.columns])
+    return ordered.select(*unpacked(docs.columns))
