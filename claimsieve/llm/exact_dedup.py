@@ -15,7 +15,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import SPACES, null_safe, text_or_empty
+from claimsieve.llm.common import SPACES, null_safe, packed, text_or_empty, unpacked
 from claimsieve.operators.layout import reliable, shared_folder
 
 STATE = {
@@ -168,8 +168,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns. Of rows that repeat in full one stays."""
     marks = exact_dedup(docs).filter("kept").groupBy("doc_id", "check").agg(F.count(F.lit(1)).alias("m_rows"))
     marks = reliable(marks.select(F.col("doc_id").alias("m_id"), F.col("check").alias("m_check"), "m_rows"))
-    rows = docs.withColumn("check_of_row", F.xxhash64(text_or_empty(docs)))
-    kept = rows.join(marks, null_safe(rows, marks, [("doc_id", "m_id"), ("check_of_row", "m_check")]), "left_semi")
+    rows = docs.select(packed(docs), docs["doc_id"].alias("own_id"), F.xxhash64(text_or_empty(docs)).alias("own_check"))
+    kept = rows.join(marks, null_safe(rows, marks, [("own_id", "m_id"), ("own_check", "m_check")]), "left_semi")
     if has_rows(marks.filter("m_rows > 1")):
-        kept = kept.dropDuplicates(["doc_id", "check_of_row"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["own_id", "own_check"])
+    return kept.select(*unpacked(docs.columns))

@@ -25,8 +25,8 @@ def labelled_sample(
     order = F.xxhash64(F.lit("sample"), "doc_id")
     classes = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(rows_per_class) for v in (0, 1)]
     chosen = classes[0].unionByName(classes[1]).select(F.col("doc_id").alias("s_id"), "label")
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id"))
-    sample = sample.select("doc_id", text_or_empty(docs).alias("text"), "label")
+    sample = docs.select("doc_id", text_or_empty(docs).alias("text"))
+    sample = sample.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select("doc_id", "text", "label")
     rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(known, "doc_id")
     whole = {r.label: r.n for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     return reliable(sample.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id", "text")), whole

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import null_safe, text_or_empty
+from claimsieve.llm.common import null_safe, packed, text_or_empty, unpacked
 from claimsieve.operators.layout import unpack
 
 WIDTH = 3
@@ -54,25 +54,25 @@ def line_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     removed. A text with fewer lines than a window, an empty or null text (one empty line) stays as it is; a
     null text stays null. Rows that repeat in full share doc_id and text, so neither counts as the later one.
     ``removed`` lists the merged spans, first line to last line from 0, as "2-4,9-12". Columns of ``docs``
-    that carry the names of the added columns are replaced.
+    that carry the names of the added columns are replaced, all others stay, whatever their names.
     """
     covered = covered_lines(docs, width)
-    rows = docs.withColumn("check_of_row", F.xxhash64(text_or_empty(docs)))
-    match = null_safe(rows, covered, [("doc_id", "c_id"), ("check_of_row", "c_check")])
+    rows = docs.select(packed(docs), docs["doc_id"].alias("own_id"), F.xxhash64(text_or_empty(docs)).alias("own_check"))
+    match = null_safe(rows, covered, [("own_id", "c_id"), ("own_check", "c_check")])
     rows = rows.join(covered, match, "left")
     gone = F.coalesce(F.col("covered"), F.array().cast("array<int>"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    lines = F.split(F.coalesce("row.text", F.lit("")), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     heads = F.filter(gone, lambda x, i: (i == 0) | (x != F.get(gone, i - 1) + 1))
     tails = F.filter(gone, lambda x, i: (i == F.size(gone) - 1) | (x != F.get(gone, i + 1) - 1))
     spans = F.array_join(F.zip_with(heads, tails, lambda a, b: F.concat_ws("-", a, b)), ",")
-    rows = rows.withColumns(
-        {
-            "text": F.when(F.size(gone) == 0, F.col("text")).otherwise(text),
-            "n_lines": F.size(lines).cast("long"),
-            "n_removed": F.size(gone).cast("long"),
-            "removed": spans,
-        }
-    )
-    return rows.select(*docs.columns, *[c for c in ("n_lines", "n_removed", "removed") if c not in docs.columns])
+    made = {
+        "text": F.when(F.size(gone) == 0, F.col("row.text")).otherwise(text),
+        "n_lines": F.size(lines).cast("long"),
+        "n_removed": F.size(gone).cast("long"),
+        "removed": spans,
+    }
+    rows = rows.select("row", F.struct(*[v.alias(c) for c, v in made.items()]).alias("made"))
+    new = {c: F.col("made").getField(c) for c in made}
+    return rows.select(*unpacked(docs.columns, new), *[new[c].alias(c) for c in made if c not in docs.columns])

@@ -317,8 +317,6 @@ def surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.concat(between, made)), lambda x: x.new), "")
     text = F.when(F.col("news").isNotNull(), joined).otherwise(F.col("row.text"))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.col("news.says"), F.array().cast("array<string>")))), ",")
-    return rows.select(
-        *unpacked(rest, {"text": text}),
-        F.greatest(F.coalesce(F.size(F.filter("news", lambda x: x.part == 0)), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"),
-        kinds.alias("kinds"),
-    )
+    n_entities = F.greatest(F.size(F.filter("news", lambda x: x.part == 0)), F.lit(0)).cast("long")
+    rows = rows.select("row", F.struct(text.alias("text"), n_entities.alias("n_entities"), kinds.alias("kinds")).alias("made"))
+    return rows.select(*unpacked(rest, {"text": F.col("made.text")}), "made.n_entities", "made.kinds")

@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import remainder, text_or_empty
+from claimsieve.llm.common import packed, remainder, text_or_empty, unpacked
 from claimsieve.llm.labels import labelled_sample, row_weight, times
 from claimsieve.operators.layout import reliable
 
@@ -179,8 +179,8 @@ def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
     Null and empty texts are scored as an empty text. A null doc_id is never held out. Columns of
     ``docs`` that carry the names of the added columns are replaced.
     """
-    rows = with_statistics(docs)
-    held_out = F.coalesce(remainder(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False))
     rest = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    rows = rows.select(*rest, held_out.alias("held_out"), model.score().alias("score"))
+    held_out = F.coalesce(remainder(docs["doc_id"], MODULUS) == HELD_OUT, F.lit(False))
+    rows = with_statistics(docs.select(packed(docs, rest), held_out.alias("held_out"), docs["text"].alias("text")))
+    rows = rows.select("row", "held_out", model.score().alias("score")).select(*unpacked(rest), "held_out", "score")
     return rows.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))

@@ -257,12 +257,14 @@ def scored(docs: DataFrame, model) -> DataFrame:
     cells, words, (bias, weights) = model
     own = ("held_out", "score", "predicted", *FEATURES)
     rest = [c for c in docs.columns if c not in own and c != "text"]
-    rows = marks(docs, cells, words, rest)
+    names = [f"column_{i}" for i in range(len(rest))]
+    hidden = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(rest, names, strict=True)], docs["text"].alias("text"))
+    rows = marks(hidden, cells, words, names)
     margin = F.lit(bias)
     for name, weight in zip(FEATURES, weights, strict=True):
         margin = margin + weight * F.col(name)
     score = 1.0 / (1.0 + F.exp(-margin))
-    held_out = F.coalesce(remainder(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False))
+    held_out = F.coalesce(remainder(F.col(names[rest.index("doc_id")]), MODULUS) == HELD_OUT, F.lit(False))
     return rows.select(
-        *rest, held_out.alias("held_out"), score.alias("score"), F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"), "hits"
+        *[F.col(n).alias(c) for c, n in zip(rest, names, strict=True)], held_out.alias("held_out"), score.alias("score"), F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"), "hits"
     )
