@@ -134,8 +134,9 @@ def mix(
     names = sorted(weights)
     wanted = [*[float(weights[n]) for n in names]]
     wanted.append(sum(wanted) / len(wanted) if wanted else 1.0)
-    numbered = [(n, i) for i, n in enumerate(names)]
-    known = broadcast_if_bounded(spark.createDataFrame(numbered, "w_source string, w_place int"), len(names))
+    numbers = pa.array(range(len(names)), pa.int32())
+    known = spark.createDataFrame(pa.table([pa.array(names, pa.string()), numbers], names=["w_source", "w_place"]))
+    known = broadcast_if_bounded(known, len(names))
     place = F.coalesce("w_place", F.lit(len(names)))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), text_or_empty(docs) if "text" in docs.columns else F.lit(""))
     keyed = docs.select("doc_id", "source", *columns, draw.alias("draw"))
@@ -147,7 +148,8 @@ def mix(
 
     # number the rows of a source without one task seeing them all: uniform ranges of the draw, counted, then offset
     several = [(i, -(-n // BUCKET_ROWS)) for i, n in enumerate(sizes) if n > BUCKET_ROWS]
-    ranges = broadcast_if_bounded(spark.createDataFrame(several, "r_place int, ranges long"), len(several))
+    arrays = [pa.array([x[k] for x in several], kind) for k, kind in enumerate((pa.int32(), pa.int64()))]
+    ranges = broadcast_if_bounded(spark.createDataFrame(pa.table(arrays, names=["r_place", "ranges"])), len(several))
     share = (F.shiftright(F.col("draw"), 1).cast("double") / 2.0**63) + 0.5
     many = F.coalesce("ranges", F.lit(1).cast("long"))
     bucket = F.least(F.floor(share * many), many - 1)
