@@ -126,3 +126,32 @@ def test_bitsets_equal_gene_rows(spark):
         top = cand.elites(fitness)
         after = cand.next_generation(top, flipped, rows, 7, ["gene", "bit"])
         assert unpacked(cand.next_generation(top, flipped_bits, packed, 7, ["bits"]), n) == bits(after)
+
+
+def many_members(spark):
+    """More rows than the optimizer believes: candidates exploded from a small table of searches."""
+    searches = spark.range(20).select(F.col("id").cast("string").alias("search_id"), F.lit(0).alias("generation"))
+    return searches.withColumn("ind", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_members_are_never_broadcast(spark):
+    members = many_members(spark)
+    fitness = members.withColumn("fitness", F.lit(0.5))
+    subsets = members.withColumns({"gene": F.col("ind"), "bit": F.lit(1)})
+    settings = members.withColumns({g: F.lit(0.5) for g in cand.SETTING_GENES})
+    pairs = cand.draw_pairs(members.withColumn("slot", F.col("ind")), 2)
+    children = cand.cross_subsets(pairs, subsets)
+    built = [
+        pairs,
+        children,
+        cand.cross_settings(pairs, settings),
+        cand.tournament(fitness),
+        cand.next_generation(cand.elites(fitness), children, subsets, 5, ["gene", "bit"]),
+    ]
+    for df in built:
+        assert "Join" in plan_of(df) and "Broadcast" not in plan_of(df)
+    assert cand.cross_settings(pairs, settings).count() == 20 * 4
