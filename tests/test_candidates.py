@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from claimsieve.catalog import queries
 from claimsieve.operators import candidates as cand
 
 FITNESS = "search_id string, generation int, ind bigint, fitness double"
@@ -155,3 +156,10 @@ def test_exploded_members_are_never_broadcast(spark):
     for df in built:
         assert "Join" in plan_of(df) and "Broadcast" not in plan_of(df)
     assert cand.cross_settings(pairs, settings).count() == 20 * 4
+
+
+def test_catalog_members_are_dealt_out_before_they_are_exploded(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = queries.members(spark, str(tmp_path))
+    assert rows.count() == 600
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
