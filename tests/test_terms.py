@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -115,3 +117,28 @@ def test_lemma_lookup(spark):
     for limit in (10, 1):
         got = dictionary.lemma_lookup(df, lemmas, min_length=3, max_dictionary=limit)
         assert {r["doc_id"]: r["tokens"] for r in got.collect()} == {1: ["goose", "goose"], 2: []}
+
+
+def test_vocabulary_by_length_equals_that_of_all_grams(spark):
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(40)]
+    rows = [(i, [rng.choice(names[: rng.choice((3, 8, 40))]) for _ in range(rng.randrange(30))]) for i in range(300)]
+    rows += [(300, []), (301, ["w0"]), (302, ["w1", "w2", "w3"]), (None, ["w1", "w2", "w3"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    n = terms.row_count(df)
+    for top, most, bound in ((20, 0.95, 1000), (20, 0.3, 1000), (500, 0.95, 1000), (50_000, 0.95, 100_000), (500, 0.95, 30)):
+        whole = terms.vocabulary(terms.term_counts(df), n, 2, most, top).collect()
+        by_length = terms.token_vocabulary(df, n, max_df=most, max_features=top, max_rows=bound).collect()
+        assert sorted(by_length) == sorted(whole) and whole
+    spaced = spark.createDataFrame([(1, ["a b", "c"]), (2, ["a", "b", "c"]), (3, ["a", "b"])], df.schema)
+    whole = terms.vocabulary(terms.term_counts(spaced), terms.row_count(spaced), 2).collect()
+    assert sorted(terms.token_vocabulary(spaced, terms.row_count(spaced)).collect()) == sorted(whole)
+
+
+def test_grams_of_rare_words_stay_in_their_row(spark):
+    rows = [(1, ["a", "b", "x", "a", "b"]), (2, ["b", "a", "y"]), (3, ["a"]), (4, ["b", "x"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    two = terms.grams_of_frequent(df, pa.array(["a", "b"]), 2, "doc_id", "tokens")
+    assert {r[0]: r[1] for r in two.collect()} == {1: ["a b", "a b"], 2: ["b a"], 3: [], 4: []}
+    three = terms.grams_of_frequent(df, pa.array(["a b", "b x", "x a"]), 3, "doc_id", "tokens", rows=1)
+    assert {r[0]: r[1] for r in three.collect()} == {1: ["a b x", "b x a", "x a b"], 2: [], 3: [], 4: []}
