@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -33,8 +34,9 @@ CHUNK = 32_768
 GAP = "▁"
 START, UNKNOWN = -2, -3
 LONG_WORD = 40
-CACHE = 3 << 19  # letters of words kept, and as many of those kept before
+CACHE = 1 << 20  # letters of words kept, and as many of those kept before
 SPINES = 8_000
+STEPS = 50_000
 BASE = 0x100000001B3
 NONE = -np.inf
 
@@ -55,23 +57,23 @@ class PieceModel:
         self.surface = [p.piece for p in proto.pieces]
         self.score = np.array([p.score for p in proto.pieces])
         kinds = [p.type for p in proto.pieces]
-        self.bytes_at = {i: int(p.piece[3:5], 16) for i, p in enumerate(proto.pieces) if p.type == 6}
-        self.byte_id = {b: i for i, b in self.bytes_at.items()}
+        self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.ids = {s: i for i, s in enumerate(self.surface) if kinds[i] == 1}
         if any(GAP in s.lstrip(GAP) for s in self.ids):
             raise ValueError("a piece goes on after a word's end; words are then no unit")
         self.unknown_score = float(self.score.min()) - 10.0
         self.spines: dict[int, tuple[list, list]] = {}
+        self.ranks = {s: -float(self.score[i]) for s, i in self.ids.items()}
         if self.merges:
             for s in [*self.ids]:
                 tree = self.merge_tree(s)
                 if tree is None:
-                    del self.ids[s]
+                    del self.ids[s], self.ranks[s]
         self.longest = max(map(len, self.ids))
         newline = "" if "\n" in self.ids else "\n"
         self.words = re.compile(f"{newline}|{GAP}*[^{GAP}{newline}]+|{GAP}+" if newline else f"{GAP}*[^{GAP}]+|{GAP}+")
-        self.step_keys = np.zeros(1 << 21, dtype=np.int64)  # the steps seen lately, one a cell
-        self.step_weights = np.zeros(1 << 21)
+        self.step_keys = np.zeros(1 << 20, dtype=np.int64)  # the steps seen lately, one a cell
+        self.step_weights = np.zeros(1 << 20)
         self.allowed_memo: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -82,8 +84,7 @@ class PieceModel:
 
     def rank(self, s: str) -> float:
         """The place of a piece in the order of merges; infinite for a string that is none."""
-        i = self.ids.get(s)
-        return np.inf if i is None else -self.score[i]
+        return self.ranks.get(s, np.inf)
 
     def merge_tree(self, s: str) -> tuple[list, list] | None:
         """What stands at the left and the right end of a piece while its letters are merged.
@@ -114,23 +115,30 @@ class PieceModel:
         key = a << 32 | b
         known = self.allowed_memo.get(key)
         if known is None:
-            known = not any(
-                (r := self.rank(x + y)) < np.inf and r < x_until and r <= y_until and self.together(x_from, y_from, x_until, y_until)
-                for x, x_from, x_until in timed(self.spine(a)[1])
-                for y, y_from, y_until in timed(self.spine(b)[0])
-            )
-            if len(self.allowed_memo) > 200_000:
+            known = self.stays(self.spine(a)[1], self.spine(b)[0])
+            if len(self.allowed_memo) > STEPS:
                 self.allowed_memo.clear()
             self.allowed_memo[key] = known
         return known
 
+    def stays(self, right: list, left: list) -> bool:
+        """Whether no end of one piece and start of the next one are merged."""
+        find = self.ranks.get
+        for x, x_from, x_until in right:
+            for y, y_from, y_until in left:
+                r = find(x + y)
+                if r is not None and r < x_until and r <= y_until and self.together(x_from, y_from, x_until, y_until):
+                    return False
+        return True
+
     def spine(self, piece: int) -> tuple[list, list]:
-        """:meth:`merge_tree` of a piece; those asked for lately are kept."""
+        """:meth:`merge_tree` of a piece, :func:`timed`; those asked for lately are kept."""
         found = self.spines.get(piece)
         if found is None:
             if len(self.spines) >= SPINES:
                 self.spines.clear()
-            found = self.spines[piece] = self.merge_tree(self.surface[piece])
+            left, right = self.merge_tree(self.surface[piece])
+            found = self.spines[piece] = list(timed(left)), list(timed(right))
         return found
 
     @staticmethod
@@ -164,9 +172,17 @@ class PieceModel:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, dtype=np.int64)
+        left = None
         for factor, cells in self.tables:
             at = cells[(hashes * factor) >> np.uint64(45)]
-            out = np.where((at >= 0) & (self.hash_of[at] == hashes), self.id_of[at], out)
+            taken = np.flatnonzero(at >= 0)  # behind an empty cell nothing went to the next table
+            at, hashes = at[taken], hashes[taken]
+            left = taken if left is None else left[taken]
+            hit = self.hash_of[at] == hashes
+            out[left[hit]] = self.id_of[at[hit]]
+            left, hashes = left[~hit], hashes[~hit]
+            if not len(left):
+                break
         return out
 
     # ---- words ------------------------------------------------------------------------------------
@@ -186,24 +202,28 @@ class PieceModel:
         weight = np.full((n, width + 1), NONE)
         weight[:, 0] = 0.0
         for i in range(1, width + 1):
-            for k in range(1, min(i, self.longest) + 1):
-                rows = np.flatnonzero((size >= i) & (weight[:, i - k] > NONE))
+            waiting = np.flatnonzero(size >= i)
+            for k in range(min(i, self.longest), 0, -1):
+                rows = waiting[weight[waiting, i - k] > NONE]
                 if not len(rows):
                     continue
                 piece = self.find(total[rows, i] - total[rows, i - k] * powers[k])
                 if k == 1:
                     piece = np.where(piece < 0, UNKNOWN, piece)
-                    hit = np.ones(len(rows), dtype=bool)
                 else:
                     hit = piece >= 0
-                rows, piece = rows[hit], piece[hit]
+                    rows, piece = rows[hit], piece[hit]
+                if not len(rows):
+                    continue
                 before = last[rows, i - k]
                 step = self.steps(before, piece)
                 new = weight[rows, i - k] + step
-                better = new > weight[rows, i]
+                better = (new > NONE) & (new >= weight[rows, i])  # of equal ones the shortest piece, as met last
                 rows, piece, new = rows[better], piece[better], new[better]
                 weight[rows, i] = new
                 last[rows, i] = piece
+                if self.merges and len(rows):  # one path to a place is finite, so the others need no look
+                    waiting = waiting[weight[waiting, i] == NONE]
         return self.paths(words, size, last)
 
     def paths(self, words: list[str], size: np.ndarray, last: np.ndarray) -> list[bytes]:
@@ -230,8 +250,9 @@ class PieceModel:
         if not self.merges:
             return np.where(piece >= 0, self.score[piece], self.unknown_score)
         keys = (before + 8) * (1 << 32) + piece + 8
-        cell = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-        for i in np.flatnonzero(self.step_keys[cell] != keys):
+        cell = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        new = np.flatnonzero(self.step_keys[cell] != keys)
+        for i in new[np.unique(keys[new], return_index=True)[1]].tolist():
             self.step_keys[cell[i]] = keys[i]
             self.step_weights[cell[i]] = 0.0 if self.allowed(int(before[i]), int(piece[i])) else NONE
         out = self.step_weights[cell]
@@ -265,9 +286,11 @@ class PieceModel:
         for low in range(0, len(unknown), 8_192):
             part = unknown[low : low + 8_192]
             cache.update(zip(part, self.encode_words(part), strict=True))
-        if not long:
-            return [b"".join(map(cache.__getitem__, words)) for words in pieces]
-        return [b"".join(cache[w] if w in cache else long[w] for w in words) for words in pieces]
+        cache.update(long)
+        out = [b"".join(map(cache.__getitem__, words)) for words in pieces]
+        for w in long:
+            del cache[w]
+        return out
 
     # ---- chunks that start or end inside a word ------------------------------------------------------
 
@@ -358,18 +381,6 @@ class PieceModel:
             start = end
         return [*out, (start, len(text), True)]
 
-    def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.raw().__getitem__, ids.tolist()))
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
-    def raw(self) -> list[bytes]:
-        if not hasattr(self, "raw_pieces"):
-            self.raw_pieces = [
-                bytes([self.bytes_at[i]]) if i in self.bytes_at else s.replace(GAP, " ").encode() for i, s in enumerate(self.surface)
-            ]
-        return self.raw_pieces
-
 
 def timed(spine: list) -> Iterator[tuple[str, float, float]]:
     """(string, rank from which it is there, rank at which it grows)."""
@@ -390,6 +401,27 @@ def pieces_of(model: bytes) -> PieceModel:
     return LOADED[model]
 
 
+class PieceBytes:
+    """What writes ids as text again, without what encoding needs."""
+
+    def __init__(self, model: bytes) -> None:
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model)
+        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(GAP, " ").encode() for p in proto.pieces]
+
+    def decode(self, ids: np.ndarray) -> str:
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        text = raw.decode("utf-8", "replace")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
+@lru_cache(maxsize=1)
+def bytes_of(model: bytes) -> PieceBytes:
+    """Kept by a worker from task to task."""
+    return PieceBytes(model)
+
+
 def load(path: str = MODEL) -> bytes:
     """The model file's bytes, read by the driver: a vocabulary, so of bounded size."""
     return SentencePieceProcessor(model_file=path).serialized_model_proto()
@@ -424,7 +456,7 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in (part for whole in batches for part in slices(whole, 2, 300_000)):
+        for batch in (part for whole in batches for part in slices(whole, 2, 600_000)):
             ids = pieces.encode_normal([pieces.normal(t) for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(ids)], names=["doc_id", "check", "token_ids"])
 
@@ -516,7 +548,7 @@ def decode(tokens: DataFrame, model: bytes, columns: list[str]) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*columns).schema.fields)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model)
+        pieces = bytes_of(model)
         for batch in batches:
             texts = [pieces.decode(np.asarray(x.values)) for x in batch.column(batch.num_columns - 1)]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
