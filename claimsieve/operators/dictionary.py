@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.functions.stem import with_stem
-from claimsieve.operators.layout import BROADCAST_ROWS, broadcast_if_bounded, reliable, unpack
+from claimsieve.operators.layout import BROADCAST_ROWS, ITEMS, broadcast_if_bounded, reliable, row_parts, unpack
 
 
 def distinct_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -33,11 +33,11 @@ def replace_words(
     shared = df.sparkSession.sparkContext.broadcast(
         (mapping.column(0).combine_chunks(), mapping.column(1).combine_chunks())
     )
-    names = df.columns
+    names, items = df.columns, ITEMS
 
     def swap(batches):
         known, replacement = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_parts(whole, whole.column(tokens), items)):
             lists = batch.column(tokens)
             flat = lists.flatten()
             new = pc.coalesce(replacement.take(pc.index_in(flat, value_set=known)), flat)

@@ -6,12 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+ITEMS = 1 << 20  # list items of an Arrow batch that are worked on at a time
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
@@ -51,6 +56,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def row_parts(batch: pa.RecordBatch, lists: pa.Array, items: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``items`` items of its ``lists`` each, one row at least.
+
+    A batch has a fixed number of rows, however long they are; what is made from one slice has a bound.
+    """
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + items, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def input_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
