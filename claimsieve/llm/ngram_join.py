@@ -4,7 +4,9 @@ Signature trees in three steps.
 
 1. Trees. All shingles have one order, common ones last. Two sets that link share a shingle within the first
    quarter of each. So each such shingle is the root of a tree over the sets that have it there, and every
-   linked pair meets in some tree. A shingle that only one set has there is no tree.
+   linked pair meets in some tree. A shingle that only one set has there is no tree. Trees over the same sets
+   are one tree, that of their rarest shingle. From the first shingle two sets share on, they have no more in
+   common than either has left, its ``reach``: so a pair is looked for in trees both are left enough in.
 2. Stars. Each set is compared with the one member of its trees that stands for most of them, in a few rounds
    with another member each. That joins the bulk of a group of near copies without all its pairs.
 3. Dual traversal. A tree whose members are all joined is done. In the others the sets of one size band and
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimsieve.llm.common import FACTORS, WordHashes, mixed, text_or_empty
-from claimsieve.operators.layout import BROADCAST_ROWS, reliable, unpack
+from claimsieve.operators.layout import BROADCAST_ROWS, reliable
 
 WIDTH = 5
 PERCENT = 75
@@ -288,7 +290,7 @@ def possible(left: str, right: str) -> Column:
     shared = shared_bits(f"{left}.bits", f"{right}.bits")
     need = needed(a("low"), b("low"))
     sizes = (100 * a("high") >= PERCENT * b("low")) & (100 * b("high") >= PERCENT * a("low"))
-    sizes = sizes & (F.least(a("high"), b("high")) >= need)
+    sizes = sizes & (F.least(a("reach"), b("reach")) >= need)
     same = (a("c_low") == a("c_high")) & (b("c_low") == b("c_high")) & (a("c_low") == b("c_low"))
     return sizes & ~same & (F.least(a("high") - a("pop"), b("high") - b("pop")) + shared >= need)
 
@@ -328,7 +330,7 @@ def star_pairs(trees: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     heads = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("s", "c"), order).alias("head"))
     heads = heads.filter("lo <> hi").select(F.col("token").alias("h_token"), "head")
     met = rows.join(heads, F.col("token") == F.col("h_token")).filter(F.col("c") != F.col("head.c"))
-    met = met.groupBy("s", "c", "head").agg(F.count(F.lit(1)).alias("met"))
+    met = met.groupBy("s", "c", "head").agg(F.sum("weight").alias("met"))
     best = met.groupBy("s", "c").agg(F.max_by("head", F.struct("met", "head")).alias("head"), F.max("met").alias("met"))
     sides = Window.partitionBy(F.least("c", "head.c"), F.greatest("c", "head.c")).orderBy(F.desc("met"), "s")
     best = best.withColumn("nth", F.row_number().over(sides)).filter(F.col("nth") <= 2)
@@ -351,8 +353,8 @@ def next_pairs(pairs: DataFrame, labels: DataFrame, at_once: int | None) -> tupl
 def nodes_above(nodes: DataFrame, keys: list[str]) -> DataFrame:
     bits = F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(WORDS)])
     return nodes.groupBy(*keys).agg(
-        bits.alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("slack_pop").alias("slack_pop"),
-        F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"),
+        bits.alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("reach").alias("reach"),
+        F.min("slack_pop").alias("slack_pop"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"),
     )
 
 
@@ -374,19 +376,19 @@ def bridges(trees: DataFrame, labels: DataFrame, described: DataFrame) -> DataFr
     needed_sets = rows.select("s").distinct()
     signs = described.filter("bits is not null").select("s", "n", "bits", "pop").join(needed_sets, "s", "left_semi")
     signs = reliable(signs.groupBy("s").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pop").alias("pop")))
-    rows = rows.select("token", "s", "c", "band", "o_n").join(signs, "s")
+    rows = rows.select("token", "s", "c", "band", "reach", "o_n").join(signs, "s")
     leaves = F.greatest(F.lit(1), F.ceil(F.col("o_n") / LEAF))
     spread = F.pmod(F.xxhash64("s"), leaves)
     leaf = F.col("band") * FAN_OUT**levels + spread
     rows = rows.withColumn("leaf", leaf)
     rows = rows.withColumns({"low": F.col("n"), "high": F.col("n"), "slack_pop": F.col("pop"), "c_low": F.col("c"), "c_high": F.col("c")})
-    members = reliable(rows.select("token", "leaf", "s", "n", "bits", "pop", "c", "low", "high", "slack_pop", "c_low", "c_high"))
+    members = reliable(rows.select("token", "leaf", "s", "n", "bits", "pop", "c", "low", "high", "reach", "slack_pop", "c_low", "c_high"))
 
     def level_nodes(level: int) -> DataFrame:
         return nodes_above(members.withColumn("node", F.floor(F.col("leaf") / FAN_OUT**level)), ["token", "node"])
 
     def packed(nodes: DataFrame, name: str) -> DataFrame:
-        fields = [F.col(c).alias("pop" if c == "slack_pop" else c) for c in ("node", "bits", "low", "high", "slack_pop", "c_low", "c_high")]
+        fields = [F.col(c).alias("pop" if c == "slack_pop" else c) for c in ("node", "bits", "low", "high", "reach", "slack_pop", "c_low", "c_high")]
         return nodes.select(F.col("token").alias(f"{name}_token"), F.col("node").alias(f"{name}_node"), F.struct(*fields).alias(name))
 
     pairs = None
@@ -402,14 +404,36 @@ def bridges(trees: DataFrame, labels: DataFrame, described: DataFrame) -> DataFr
             both = both.filter(F.col("x_node") <= F.col("y_node"))
         pairs = both.filter(possible("x", "y")).select(F.col("x_token").alias("p_token"), F.col("x_node").alias("p_x"), F.col("y_node").alias("p_y"))
         pairs = reliable(pairs)
-    x = members.select(F.col("token").alias("x_token"), F.col("leaf").alias("x_leaf"), F.struct("s", "bits", "low", "high", "pop", "c_low", "c_high").alias("x"))
-    y = members.select(F.col("token").alias("y_token"), F.col("leaf").alias("y_leaf"), F.struct("s", "bits", "low", "high", "pop", "c_low", "c_high").alias("y"))
+    x = members.select(F.col("token").alias("x_token"), F.col("leaf").alias("x_leaf"), F.struct("s", "bits", "low", "high", "reach", "pop", "c_low", "c_high").alias("x"))
+    y = members.select(F.col("token").alias("y_token"), F.col("leaf").alias("y_leaf"), F.struct("s", "bits", "low", "high", "reach", "pop", "c_low", "c_high").alias("y"))
     both = pairs.join(x, (F.col("p_token") == F.col("x_token")) & (F.col("p_x") == F.col("x_leaf")))
     both = both.join(y, (F.col("p_token") == F.col("y_token")) & (F.col("p_y") == F.col("y_leaf")))
-    both = both.filter(F.col("x.c_low") != F.col("y.c_low")).filter(possible("x", "y"))
+    once = (F.col("p_x") < F.col("p_y")) | (F.col("x.s") < F.col("y.s"))  # a leaf meets itself both ways round
+    both = both.filter(once & (F.col("x.c_low") != F.col("y.c_low"))).filter(possible("x", "y"))
     return both.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
 
 
+def trees_of(known: DataFrame) -> DataFrame:
+    """(token, s, band, reach, weight): the trees, one row per set (s, n, roots) of each.
+
+    Trees over the same sets are told by two 64-bit hashes of every set, added up; ``weight`` is how many trees became
+    one. The shingles they have in common stand in the same order in all their sets, so the tree of the first one
+    has the largest ``reach`` everywhere, and no pair that meets in another is lost.
+    """
+    banded = known.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long"))
+    postings = banded.select("s", "band", "n", F.posexplode_outer("roots").alias("place", "token")).filter("token is not null")
+    hashes = [F.xxhash64(F.lit(k), "s") for k in range(2)]
+    halves = [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]  # sums stay longs
+    names = ["rows", "lo", "hi", *(f"sum_{i}" for i in range(len(halves)))]
+    sums = [F.sum(half).alias(name) for half, name in zip(halves, names[3:], strict=True)]
+    roots = postings.groupBy("token").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("place").alias("places"), *sums
+    )
+    roots = roots.filter("lo <> hi").groupBy(*names).agg(F.min_by("token", "places").alias("r_token"), F.count(F.lit(1)).alias("weight"))
+    kept = postings.join(roots.select("r_token", "weight"), F.col("token") == F.col("r_token"))
+    return kept.select("token", "s", "band", (F.col("n") - F.col("place")).alias("reach"), "weight")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, s) per row of ``docs``, see :func:`near_copies_of_texts`."""
     return near_copies_of_texts(docs).drop("text_hash")
@@ -428,11 +452,7 @@ def near_copies_of_texts(docs: DataFrame) -> DataFrame:
     rows = described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s")
     known = described.filter("doc_id is not null and s is not null")
     sets = reliable(known.groupBy("s").agg(F.min("doc_id").alias("rep")))
-    banded = known.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long"))
-    postings = unpack(banded, ["s", "band"], F.col("roots"), "token")
-    roots = postings.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    roots = roots.filter("lo <> hi").select(F.col("token").alias("r_token"))
-    trees = reliable(postings.join(roots, F.col("token") == F.col("r_token")).select("token", "s", "band"))
+    trees = reliable(trees_of(known))
     labels = components(trees.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
     for number in range(STAR_ROUNDS):
         stars = worth_comparing(star_pairs(trees, labels, number), known)
