@@ -444,9 +444,11 @@ def slices(batch: pa.RecordBatch, column: int, letters: int = 1_000_000) -> Iter
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, spelled: bool = False) -> DataFrame:
     """(doc_id, check, token_ids array<int>): one row per row of ``docs``; ``check`` is the hash of the text.
 
+    With ``spelled`` also text, which the ids spell: written by the worker that made them, so that a task has one.
+
     A null text counts as empty and has no ids. Texts of up to ``chunk`` letters are encoded where they are read;
     longer ones are cut into chunks that Spark deals out. The ids are the same for every chunk size. A
     literal U+2581 is written like a space. Rows that repeat in full give equal rows.
@@ -458,11 +460,16 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
         pieces = pieces_of(model)
         for batch in (part for whole in batches for part in slices(whole, 2, 600_000)):
             ids = pieces.encode_normal([pieces.normal(t) for t in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(ids)], names=["doc_id", "check", "token_ids"])
+            columns = {"doc_id": batch.column(0), "check": batch.column(1), "token_ids": list_array(ids)}
+            if spelled:
+                decode_one = bytes_of(model).decode
+                columns["text"] = pa.array([decode_one(np.frombuffer(b, dtype=np.int32)) for b in ids], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    schema = f"doc_id {key_type}, check bigint, token_ids array<int>"
+    schema = f"doc_id {key_type}, check bigint, token_ids array<int>" + ", text string" * spelled
     short = rows.filter(F.char_length("text") <= chunk).mapInArrow(whole, schema)
-    return short.unionByName(encode_long(rows.filter(F.char_length("text") > chunk), model, chunk, key_type))
+    long = encode_long(rows.filter(F.char_length("text") > chunk), model, chunk, key_type)
+    return short.unionByName(decode(long, model, [*long.columns]) if spelled else long)
 
 
 def encode_long(rows: DataFrame, model: bytes, chunk: int, key_type: str) -> DataFrame:
@@ -554,17 +561,15 @@ def decode(tokens: DataFrame, model: bytes, columns: list[str]) -> DataFrame:
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=[*columns, "text"])
 
-    return tokens.select(*columns, "token_ids").mapInArrow(spell, f"{kinds}, text string")
+    return tokens.select(*columns, F.col("token_ids").alias("to_spell")).mapInArrow(spell, f"{kinds}, text string")
 
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids_hash, round_trip): encoded, decoded, and compared with the text by its hash."""
     model = load(path)
-    tokens = encode(docs, model).withColumns(
-        {"n_tokens": F.size("token_ids").cast("long"), "ids_hash": F.xxhash64("token_ids")}
-    )
-    back = decode(tokens, model, ["doc_id", "check", "n_tokens", "ids_hash"])
-    return back.select("doc_id", "n_tokens", "ids_hash", (F.xxhash64("text") == F.col("check")).alias("round_trip"))
+    tokens = encode(docs, model, spelled=True)
+    n_tokens, same = F.size("token_ids").cast("long"), F.xxhash64("text") == F.col("check")
+    return tokens.select("doc_id", n_tokens.alias("n_tokens"), F.xxhash64("token_ids").alias("ids_hash"), same.alias("round_trip"))
 
 
 def with_digest(docs: DataFrame, path: str = MODEL) -> DataFrame:

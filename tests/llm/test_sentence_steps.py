@@ -47,3 +47,20 @@ def test_unigram_weights_choose_the_heaviest_path(model):
         assert model.encode_words(words) == [model.backtrace(w, "", "", sentence_pieces.START, sentence_pieces.START) for w in words]
     finally:
         model.merges = True
+
+
+def test_ids_are_spelled_by_the_worker_that_made_them(spark, monkeypatch):
+    """A second Python step over all rows would hold a second worker in every task."""
+    monkeypatch.setattr(sentence_pieces, "CHUNK", 64)
+    rows = [(1, "plain words " * 3), (2, None), (3, ""), (4, "a▁b 中文字\x00"), (5, "understanding " * 40), (5, "understanding " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    encoded = sentence_pieces.encode(docs, sentence_pieces.load(), chunk=64, spelled=True)
+    got = {(r.doc_id, tuple(r.token_ids), r.text) for r in encoded.collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    assert got == {(d, tuple(library.encode(t or "")), (t or "").replace("▁", " ")) for d, t in rows}
+    assert encoded.count() == len(rows)
+    plan = sentence_pieces.digest(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("MapInArrow")
+    assert sorted((r.doc_id, r.round_trip) for r in sentence_pieces.digest(docs).collect()) == [
+        (1, True), (2, True), (3, True), (4, False), (5, True), (5, True),
+    ]
