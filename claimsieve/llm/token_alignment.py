@@ -42,7 +42,7 @@ UNITS = re.compile(" +[^ ]*")
 WORDS, LONG_WORD = 150_000, 48
 LETTERS = 300_000  # of the texts that are handled together
 KNOWN = 1_000_000
-HELD = 2_000_000
+HELD = 1_000_000
 BUCKETS = 16  # of pair counts for each power of two
 
 
@@ -67,7 +67,7 @@ class TokenizerPair:
         self.written = [f"{i}{sign}".encode() for i in range(most) for sign in (",", "|", ";", "")]
         self.a_words = Words(lambda words: (e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)))
         self.b_words = Words(lambda words: self.b.encode([w[1:] for w in words], num_threads=1))
-        self.b_words[" "] = np.array([self.b.piece_to_id(GAP)], dtype=np.int32).tobytes()  # the library has nothing for no letters
+        self.b_words.keep(" ", [self.b.piece_to_id(GAP)])  # the library has nothing for no letters
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(piece_file)
         norm, pieces = proto.normalizer_spec, [p.piece for p in proto.pieces if p.type == 1]
@@ -82,6 +82,11 @@ class TokenizerPair:
             return bytes([int(piece[3:5], 16)])
         return b"" if self.b.is_control(i) else piece.replace(GAP, " ").encode()
 
+    def forget(self) -> None:
+        """Let go of the words: steps that only look at ids do not need them."""
+        self.a_words.drop()
+        self.b_words.drop()
+
     def encode_a(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts by the library; what it splits a text into is encoded once and kept."""
         split = []
@@ -113,14 +118,24 @@ class Words(dict):
 
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.kept = encode, {}, {}
+
+    def keep(self, word: str, ids: list[int]) -> None:
+        """A word that is never forgotten."""
+        self[word] = self.kept[word] = array("i", ids).tobytes()
+
+    def drop(self) -> None:
+        """Forget all words but those to keep."""
+        self.older = {}
+        self.clear()
+        self.update(self.kept)
 
     def ids(self, split: list[list[str]]) -> list[np.ndarray]:
         """The ids of texts from those of their words; unknown words are encoded together."""
         if len(self) > WORDS:
-            self.older = dict(self)
-            self.clear()
-            self.update((w, self.older[w]) for w in (" ",) if w in self.older)
+            seen = dict(self)
+            self.drop()
+            self.older = seen
         older, missing, fresh = self.older, [], {}
         for w in set().union(*split).difference(self):
             if w in older:
@@ -339,6 +354,7 @@ def pair_counts(tokens: DataFrame, files: tuple[bytes, bytes, bytes]) -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files)
+        pair.forget()
         keys, times, waiting = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), []
 
         def added() -> tuple[np.ndarray, np.ndarray]:
@@ -399,6 +415,7 @@ def alignment_digest(docs: DataFrame, files: tuple[bytes, bytes, bytes], known:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files)
+        pair.forget()
         keys, times, best = shared.value
         for part in (part for whole in batches for part in token_slices(whole, 1, LETTERS)):
             batch = batch_of(part, 1, 2, pair)

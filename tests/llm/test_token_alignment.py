@@ -115,3 +115,13 @@ def test_groups(spark, pair):
 def test_query(spark, pair, libraries):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()]
     assert {tuple(r) for r in queries.REGISTRY["op11_token_alignment"](spark, TINY).collect()} == set(plain(libraries, pair, rows))
+
+
+def test_steps_over_ids_hold_no_words():
+    pair = token_alignment.TokenizerPair(token_alignment.load())
+    texts = ["one  two three", "  ", "straße two"]
+    before = [[ids.tolist() for ids in side] for side in pair.encode(texts)]
+    assert len(pair.a_words) > 3 and len(pair.b_words) > 3
+    pair.forget()
+    assert len(pair.a_words) + len(pair.a_words.older) + len(pair.b_words.older) == 0 and list(pair.b_words) == [" "]
+    assert [[ids.tolist() for ids in side] for side in pair.encode(texts)] == before
