@@ -6,9 +6,11 @@ Signature trees in three steps.
    quarter of each. So each such shingle is the root of a tree over the sets that have it there, and every
    linked pair meets in some tree. A shingle that only one set has there is no tree. Trees over the same sets
    are one tree, that of their rarest shingle. From the first shingle two sets share on, they have no more in
-   common than either has left, its ``reach``: so a pair is looked for in trees both are left enough in.
-2. Stars. Each set is compared with the one member of its trees that stands for most of them, in a few rounds
-   with another member each. That joins the bulk of a group of near copies without all its pairs.
+   common than either has left, its ``reach``: so a pair is looked for in trees both are left enough in, and a
+   set without such a partner is not in the tree.
+2. Stars. The members of a tree are dealt out at random, some to each star. Each set is compared with the one head of
+   its stars that stands for most of its trees, in large trees with several by further draws. That joins a group of near copies
+   without all its pairs, also one in which a member links with a small share of the others.
 3. Dual traversal. A tree whose members are all joined is done. In the others the sets of one size band and
    hash range form a leaf and the leaves of a band form higher nodes; only neighbouring bands can meet. A node holds the OR of its sets' bitmaps, the range of
    their sizes and of their components. From the roots down, pairs of nodes are dropped when the most they can
@@ -45,8 +47,8 @@ LOCAL = 3  # sets of one task that have a shingle before it counts as common
 WORDS = 16  # longs of a bitmap: 1,024 bits
 FAN_OUT = 16
 BAND = 1.34  # ratio of the sizes in a band; linked sizes differ by 100 / PERCENT at most, so by one band
-STAR_ROUNDS = 3
 LEAF = 64
+STAR_ROUNDS = (1, 64), (4, 16), (8, 16)  # draws, and sets of a star; after the first round only trees that make several
 
 
 def shingles(text: str, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -319,22 +321,26 @@ def worth_comparing(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return reliable(both.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(compare, "a bigint, b bigint"))
 
 
-def star_pairs(trees: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each set and the member of another component that stands for most of its trees.
+def star_pairs(trees: DataFrame, labels: DataFrame, number: int) -> DataFrame:
+    """(a, b): each set and, for every draw of the round, the head in another component that stands for most of its trees.
 
-    The member that stands for a tree is a hashed minimum, so it is found map-side and another one every round. Of
-    the pairs between two components the two that meet in most trees are compared.
+    The stars of a tree are the ranges of a hash, so trees of like size with the same sets have the same stars and
+    heads; a star has a bounded number of sets, however large its tree. Of the pairs between two components those
+    that meet in most trees are compared, two or as many as there are draws.
     """
-    rows = with_component(trees, labels)
-    order = F.xxhash64(F.lit(seed), "s")
-    heads = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("s", "c"), order).alias("head"))
-    heads = heads.filter("lo <> hi").select(F.col("token").alias("h_token"), "head")
-    met = rows.join(heads, F.col("token") == F.col("h_token")).filter(F.col("c") != F.col("head.c"))
-    met = met.groupBy("s", "c", "head").agg(F.sum("weight").alias("met"))
-    best = met.groupBy("s", "c").agg(F.max_by("head", F.struct("met", "head")).alias("head"), F.max("met").alias("met"))
-    sides = Window.partitionBy(F.least("c", "head.c"), F.greatest("c", "head.c")).orderBy(F.desc("met"), "s")
-    best = best.withColumn("nth", F.row_number().over(sides)).filter(F.col("nth") <= 2)
-    return reliable(best.select(F.col("head.s").alias("a"), F.col("s").alias("b")))
+    draws, members = STAR_ROUNDS[number]
+    rows = with_component(trees.filter(F.col("size") > members) if number else trees, labels)
+    rows = rows.withColumn("draw", F.explode(F.array(*[F.lit(100 * number + k) for k in range(draws)])))
+    doublings = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("size") / members))).cast("int")
+    order = F.xxhash64("draw", "s")
+    star = Window.partitionBy("token", "draw", order.bitwiseAND(F.expr("shiftleft(1L, doublings)") - 1))
+    rows = rows.withColumn("doublings", doublings).withColumn("head", F.min(F.struct(F.xxhash64("draw", "s", F.lit(1)).alias("nth"), "s", "c")).over(star))
+    met = rows.filter(F.col("c") != F.col("head.c")).groupBy("s", "c", "draw", "head").agg(F.sum("weight").alias("met"))
+    best = met.groupBy("s", "c", "draw").agg(F.max_by("head", F.struct("met", "head")).alias("head"), F.max("met").alias("met"))
+    best = best.groupBy("s", "c", "head.s", "head.c").agg(F.max("met").alias("met")).toDF("s", "c", "head", "head_c", "met")
+    sides = Window.partitionBy(F.least("c", "head_c"), F.greatest("c", "head_c")).orderBy(F.desc("met"), "s", "head")
+    best = best.withColumn("nth", F.row_number().over(sides)).filter(F.col("nth") <= max(2, draws))
+    return reliable(best.select(F.col("head").alias("a"), F.col("s").alias("b")))
 
 
 def next_pairs(pairs: DataFrame, labels: DataFrame, at_once: int | None) -> tuple[DataFrame, DataFrame]:
@@ -414,24 +420,43 @@ def bridges(trees: DataFrame, labels: DataFrame, described: DataFrame) -> DataFr
 
 
 def trees_of(known: DataFrame) -> DataFrame:
-    """(token, s, band, reach, weight): the trees, one row per set (s, n, roots) of each.
+    """(token, s, band, reach, weight, size): the trees, one row per set (s, n, roots) of each.
 
     Trees over the same sets are told by two 64-bit hashes of every set, added up; ``weight`` is how many trees became
-    one. The shingles they have in common stand in the same order in all their sets, so the tree of the first one
-    has the largest ``reach`` everywhere, and no pair that meets in another is lost.
+    one, ``size`` how many rows it had. The shingles they have in common stand in the same order in all their sets, so
+    the tree of the first one has the largest ``reach`` everywhere, and no pair that meets in another is lost. The
+    postings go over the network once: both the sums and the join below read the same columns of the same exchange.
     """
-    banded = known.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long"))
-    postings = banded.select("s", "band", "n", F.posexplode_outer("roots").alias("place", "token")).filter("token is not null")
+    postings = known.select("s", F.posexplode_outer("roots").alias("place", "token")).filter("token is not null").repartition("token")
     hashes = [F.xxhash64(F.lit(k), "s") for k in range(2)]
     halves = [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]  # sums stay longs
-    names = ["rows", "lo", "hi", *(f"sum_{i}" for i in range(len(halves)))]
+    names = ["size", "lo", "hi", *(f"sum_{i}" for i in range(len(halves)))]
     sums = [F.sum(half).alias(name) for half, name in zip(halves, names[3:], strict=True)]
     roots = postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("place").alias("places"), *sums
+        F.count(F.lit(1)).alias("size"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("place").alias("places"), *sums
     )
     roots = roots.filter("lo <> hi").groupBy(*names).agg(F.min_by("token", "places").alias("r_token"), F.count(F.lit(1)).alias("weight"))
-    kept = postings.join(roots.select("r_token", "weight"), F.col("token") == F.col("r_token"))
-    return kept.select("token", "s", "band", (F.col("n") - F.col("place")).alias("reach"), "weight")
+    kept = postings.join(roots.select("r_token", "weight", "size"), F.col("token") == F.col("r_token"))
+    kept = reliable(kept.select("token", "s", "place", "weight", "size").distinct())
+    sizes = known.groupBy(F.col("s").alias("n_s")).agg(F.first("n").alias("n"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long")
+    rows = kept.join(sizes, F.col("s") == F.col("n_s")).select("token", "s", "n", band.alias("band"), (F.col("n") - F.col("place")).alias("reach"), "weight", "size")
+    return with_partner(reliable(rows)).drop("n")
+
+
+def with_partner(rows: DataFrame) -> DataFrame:
+    """The rows of trees without those whose set can't link with any other one of its tree, by size and reach.
+
+    A row is held against each size band that its partners may be in: their sizes and the largest reach of them."""
+    bands = rows.groupBy("token", "band").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("far"), F.min("s").alias("lo"), F.max("s").alias("hi")
+    ).withColumnsRenamed({"token": "t_token", "band": "t_band"})
+    near = (F.col("token") == F.col("t_token")) & F.col("t_band").between(F.col("band") - 1, F.col("band") + 1)
+    alone = (F.col("t_band") == F.col("band")) & (F.col("lo") == F.col("hi"))
+    sizes = (100 * F.col("high") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("low"))
+    smallest = F.greatest("low", F.ceil(PERCENT * F.col("n") / 100))
+    enough = F.least("reach", "far") >= needed(F.col("n"), smallest)
+    return rows.join(bands, near & ~alone & sizes & enough, "left_semi")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -454,7 +479,7 @@ def near_copies_of_texts(docs: DataFrame) -> DataFrame:
     sets = reliable(known.groupBy("s").agg(F.min("doc_id").alias("rep")))
     trees = reliable(trees_of(known))
     labels = components(trees.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
-    for number in range(STAR_ROUNDS):
+    for number in range(len(STAR_ROUNDS)):
         stars = worth_comparing(star_pairs(trees, labels, number), known)
         found = reliable(verified(stars, named, sets))
         if not found.take(1):
