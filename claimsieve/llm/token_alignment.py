@@ -25,6 +25,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
@@ -279,6 +280,12 @@ def lists(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, kind))
 
 
+def id_bytes(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids as values of four bytes an id, one for each row."""
+    offsets = 4 * np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype("<i4"))])
+
+
 # ---- Spark jobs --------------------------------------------------------------------------------------------
 
 
@@ -307,11 +314,12 @@ def alignments(docs: DataFrame, files: tuple[bytes, bytes, bytes]) -> DataFrame:
 def encoded(docs: DataFrame, files: tuple[bytes, bytes, bytes]) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, groups_sha256, a, b): the ids of both sides, written once.
 
-    ``a`` and ``b`` are arrays; ``row`` tells rows apart, also those that repeat.
+    ``a`` and ``b`` are four bytes an id, one value a row: as arrays they took a multiple of that in the JVM, which lays
+    out levels and items one by one. ``row`` tells rows apart, also those that repeat.
     """
     key_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "a", "b"]
-    kind = f"doc_id {key_type}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, a array<int>, b array<int>"
+    kind = f"doc_id {key_type}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, a binary, b binary"
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files)
@@ -320,7 +328,7 @@ def encoded(docs: DataFrame, files: tuple[bytes, bytes, bytes]) -> DataFrame:
             n_groups, texts = batch.written()
             numbers = [pa.array(x, pa.int64()) for x in (batch.n_a, batch.n_b, n_groups)]
             digests = pa.array([sha256(x).hexdigest() if x else "" for x in texts], pa.string())
-            ids = [lists(batch.a, batch.a_last, pa.int32()), lists(batch.b, batch.b_last, pa.int32())]
+            ids = [id_bytes(batch.a, batch.a_last), id_bytes(batch.b, batch.b_last)]
             yield pa.RecordBatch.from_arrays([part.column(0), *numbers, digests, *ids], names=names)
 
     rows = docs.select("doc_id", text_or_empty(docs).alias("text")).mapInArrow(align, kind)
@@ -330,15 +338,15 @@ def encoded(docs: DataFrame, files: tuple[bytes, bytes, bytes]) -> DataFrame:
 
 
 def batch_of(part: pa.RecordBatch, a: int, b: int, pair: TokenizerPair) -> Batch:
-    sides = [[np.asarray(x.values, dtype=np.int32) for x in part.column(i)] for i in (a, b)]
+    sides = [[np.frombuffer(x.as_buffer(), dtype="<i4") for x in part.column(i)] for i in (a, b)]
     return Batch(*sides, pair)
 
 
 def token_slices(batch: pa.RecordBatch, a: int, tokens: int = 150_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many tokens each."""
     start, size = 0, 0
-    for i, ids in enumerate(batch.column(a)):
-        size += len(ids)
+    for i, length in enumerate(pc.binary_length(batch.column(a)).to_pylist()):
+        size += length // 4
         if size > tokens:
             yield batch.slice(start, i + 1 - start)
             start, size = i + 1, 0

@@ -125,3 +125,15 @@ def test_steps_over_ids_hold_no_words():
     pair.forget()
     assert len(pair.a_words) + len(pair.a_words.older) + len(pair.b_words.older) == 0 and list(pair.b_words) == [" "]
     assert [[ids.tolist() for ids in side] for side in pair.encode(texts)] == before
+
+
+def test_ids_are_kept_as_bytes(spark, pair):
+    """Four bytes an id and one value a row, so that the JVM lays out no items; a row without tokens has none."""
+    docs = table(spark, [(1, "Two words, and more"), (2, None), (3, "naïve 漢字")])
+    tokens = token_alignment.encoded(docs, token_alignment.load())
+    assert [dict(tokens.dtypes)[c] for c in ("a", "b")] == ["binary", "binary"]
+    for r in tokens.collect():
+        assert [len(r.a), len(r.b)] == [4 * r.n_a, 4 * r.n_b]
+        sides = [np.frombuffer(x, dtype="<i4") for x in (r.a, r.b)]
+        expected = pair.encode([{1: "Two words, and more", 2: "", 3: "naïve 漢字"}[r.doc_id]])
+        assert [x.tolist() for x in sides] == [x[0].tolist() for x in expected]
