@@ -48,7 +48,8 @@ WORDS = 16  # longs of a bitmap: 1,024 bits
 FAN_OUT = 16
 BAND = 1.34  # ratio of the sizes in a band; linked sizes differ by 100 / PERCENT at most, so by one band
 LEAF = 64
-STAR_ROUNDS = (1, 64), (4, 16), (8, 16)  # draws, and sets of a star; after the first round only trees that make several
+STAR_ROUNDS = 3
+STARS = (1, 64), (4, 16), (8, 16)  # of each round: draws, and sets of a star; after the first round only trees that make several
 
 
 def shingles(text: str, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -328,7 +329,7 @@ def star_pairs(trees: DataFrame, labels: DataFrame, number: int) -> DataFrame:
     heads; a star has a bounded number of sets, however large its tree. Of the pairs between two components those
     that meet in most trees are compared, two or as many as there are draws.
     """
-    draws, members = STAR_ROUNDS[number]
+    draws, members = STARS[number]
     rows = with_component(trees.filter(F.col("size") > members) if number else trees, labels)
     rows = rows.withColumn("draw", F.explode(F.array(*[F.lit(100 * number + k) for k in range(draws)])))
     doublings = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("size") / members))).cast("int")
@@ -479,7 +480,7 @@ def near_copies_of_texts(docs: DataFrame) -> DataFrame:
     sets = reliable(known.groupBy("s").agg(F.min("doc_id").alias("rep")))
     trees = reliable(trees_of(known))
     labels = components(trees.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0))
-    for number in range(len(STAR_ROUNDS)):
+    for number in range(STAR_ROUNDS):
         stars = worth_comparing(star_pairs(trees, labels, number), known)
         found = reliable(verified(stars, named, sets))
         if not found.take(1):
